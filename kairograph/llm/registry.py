@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, pii, sentencepiece_scan, simhash
+from . import decontaminate, language, pii, sentencepiece_scan, sharding, simhash, token_counts, toxicity, vectors, warc
 
 
 def queries() -> dict:
@@ -10,7 +10,12 @@ def queries() -> dict:
         "op1_simhash": simhash.query,
         "op2_decontamination": decontaminate.query,
         "op3_sentencepiece": sentencepiece_scan.query,
+        "op4_token_counts": token_counts.query,
+        "op5_warc": warc.query,
+        "op6_sharding": sharding.query,
         "op7_pii": pii.query,
+        "op8_toxicity": toxicity.query,
+        "op9_embeddings": vectors.query,
         "op10_language": language.query,
     }
 
