@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import c
 
-#: Characters before a span in which context words count, and what one adds.
+#: Characters before a span, back to the kind's last match, in which context words count, and what one adds.
 CONTEXT, BOOST = 40, 0.35
 #: A proposed span of an added kind is reported from this score on.
 LEAST_SCORE = 0.5
@@ -51,13 +51,18 @@ def mod97(iban: Column) -> Column:
 
 
 def _octets(m: Column) -> Column:
-    return F.forall(F.split(m, "[.]"), lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.coalesce(F.ltrim(F.lit("0"), p).try_cast("int"), F.lit(0)) <= 255))
+    return F.forall(F.split(m, "[.]"), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.ltrim(p, F.lit("0")).try_cast("int"), F.lit(0)) <= 255))
 
 
 def _digit_count(low: int, high: int):
     return lambda m: F.length(_digits(m)).between(low, high)
 
 
+def _iban(m: Column) -> Column:
+    plain = F.replace(m, F.lit(" "), F.lit(""))
+    return F.length(plain).between(15, 34) & mod97(plain)
+
+
 @dataclass(frozen=True)
 class Kind:
     """``hint``: a cheap condition without which a text has no match."""
@@ -77,8 +82,8 @@ KINDS = (
     Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++(?:[.][0-9]++){3}", "[0-9][.][0-9]", _octets, 0.6, "ip|address|host|server"),
     Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,}+", "[0-9]{2}", lambda m: _digit_count(16, 19)(m) & luhn(_digits(m)), 0.8, "card|visa|credit|payment"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "[+][0-9]", _digit_count(8, 15), 0.6, "phone|call|tel|mobile|fax"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", lambda m: mod97(F.replace(m, F.lit(" "), F.lit(""))), 0.8, "iban|account|bank", False),
-    Kind("ssn", r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])", "[0-9]-[0-9]", lambda m: F.lit(True), 0.3, "ssn|social|security", False),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9])++", "[A-Z]{2}[0-9]{2}", _iban, 0.8, "iban|account|bank", False),
+    Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]-[0-9]", lambda m: ~m.rlike("^(000|666|9)|-00-|-0000$"), 0.3, "ssn|social|security", False),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
 
@@ -93,7 +98,7 @@ def _spans_of(text: Column, kind: Kind) -> Column:
     def step(acc, x):
         begin = acc["at"] + F.length(x["p"])
         end = begin + F.length(x["m"])
-        near = F.lower(F.right(x["p"], F.lit(CONTEXT))).rlike(rf"\b(?:{kind.words})")
+        near = F.lower(F.right(x["p"], F.lit(CONTEXT))).rlike(kind.words)
         score = F.lit(kind.score) + F.when(near, BOOST).otherwise(0.0)
         span = F.struct(F.lit(kind.name).alias("kind"), begin.cast("long").alias("start"), end.cast("long").alias("end"), F.least(score, F.lit(1.0)).alias("score"))
         ok = F.coalesce(kind.valid(x["m"]), F.lit(False)) & (F.lit(kind.base) | (score >= LEAST_SCORE))
@@ -131,13 +136,14 @@ def find(df: DataFrame, text: str = "text", to: str = "pii_spans") -> DataFrame:
 
 
 def redacted(text: Column, found: Column) -> Column:
-    """The text with each span as ``<KIND>``; of overlapping spans the earlier, then longer one counts."""
+    """The text with each span as ``<KIND>``; overlapping spans go together, under the kind of the earliest, then longest."""
     order = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
         piece = F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct((-s["back"]).alias("at"), piece.alias("out")))
+        more = F.struct(F.greatest(acc["at"], -s["back"]).alias("at"), acc["out"].alias("out"))
+        return F.when(s["start"] < acc["at"], more).otherwise(F.struct((-s["back"]).alias("at"), piece.alias("out")))
 
     done = F.aggregate(order, begin, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
     return F.when(F.size(found) == 0, text).otherwise(done)
@@ -154,3 +160,33 @@ def query(spark, sf_dir: str) -> DataFrame:
     # One use of the column below, so that the optimizer doesn't repeat the search in each result.
     row = F.inline(F.transform(F.array(F.col("s")), lambda s: F.struct(*[_count(s, n).alias(f"n_{n}") for n in BASE], joined(F.filter(s, lambda x: x["kind"].isin(*BASE))).alias("b"), joined(s).alias("spans"))))
     return docs.select("doc_id", row).select("doc_id", *[f"n_{n}" for n in BASE], F.sha2("b", 256).alias("base_sha256"), "spans")
+
+
+def _sql_kind(kind: Kind, order: int, pattern: str, valid: str) -> str:
+    return f"""SELECT doc_id, {order} AS ord, '{kind.name}' AS kind, m[i] AS v, p[i] AS before, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s
+    FROM (SELECT doc_id, m, p, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(x, '{pattern}') AS m, string_split_regex(x, '{pattern}') AS p FROM t)) WHERE {valid}"""
+
+
+_D = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_D}) + 1), lambda j: CASE WHEN j % 2 = 1 THEN {_D}[-j]::INT WHEN {_D}[-j]::INT > 4 THEN {_D}[-j]::INT * 2 - 9 ELSE {_D}[-j]::INT * 2 END)) % 10 = 0"
+_PLAIN = "replace(v, ' ', '')"
+_MOD97 = f"list_reduce(list_transform(string_split(array_to_string(list_transform(string_split({_PLAIN}[5:] || {_PLAIN}[1:4], ''), lambda x: CASE WHEN x >= 'A' THEN (ascii(x) - 55)::VARCHAR ELSE x END), ''), ''), lambda x: x::INT), lambda a, b: (a * 10 + b) % 97) = 1"
+_SQL_KINDS = (
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_bool_and(list_transform(string_split(v, '.'), lambda o: length(ltrim(o, '0')) <= 3 AND coalesce(try_cast(ltrim(o, '0') AS INT), 0) <= 255))"),
+    (r"[0-9](?:[\x20-]?[0-9])+", f"length({_D}) BETWEEN 16 AND 19 AND {_LUHN}"),
+    (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_D}) BETWEEN 8 AND 15"),
+    (r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9])+", f"length({_PLAIN}) BETWEEN 15 AND 34 AND {_MOD97}"),
+    (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "NOT regexp_matches(v, '^(000|666|9)|-00-|-0000$') AND regexp_matches(lower(right(before, 40)), 'ssn|social|security')"),
+)
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for the rows of ``query``."""
+    # The condition of a kind reads the row that the inner select makes.
+    parts = [f"SELECT * FROM ({_sql_kind(k, i, p, 'true')}) WHERE {v}" for i, (k, (p, v)) in enumerate(zip(KINDS, _SQL_KINDS, strict=True))]
+    counts = ", ".join(f"count(*) FILTER (kind = '{n}') AS n_{n}" for n in BASE)
+    text = "kind || ':' || s::BIGINT || ':' || (s + length(v))::BIGINT"
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), found AS ({" UNION ALL ".join(parts)})
+    SELECT d.doc_id, {counts}, sha256(coalesce(string_agg({text}, ',' ORDER BY ord, s) FILTER (ord < {len(BASE)}), '')) AS base_sha256, coalesce(string_agg({text}, ',' ORDER BY ord, s), '') AS spans
+    FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id GROUP BY d.doc_id"""
