@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that a kernel gets at once (one longer text still comes alone).
@@ -52,18 +52,6 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def slices(texts: Sequence[bytes | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts hold about SLICE_BYTES."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t) if t is not None else 0
-        if size >= SLICE_BYTES:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def append_from_text(
     df: DataFrame,
     text: str,
@@ -79,8 +67,10 @@ def append_from_text(
     """
     names = {f.name.lower() for f in fields}
     keep = [k for k in keep if k.lower() not in names]
-    source = df.select(*[c(k) for k in keep], c(text).cast("binary").alias("__text"))
-    schema = StructType([*source.schema.fields[:-1], *fields])
+    # Under names of our own inside, as a table's may be anything.
+    source = df.select(*[c(k).alias(f"k{i}") for i, k in enumerate(keep)], c(text).cast("binary").alias("t"))
+    made = [StructField(f"f{i}", f.dataType) for i, f in enumerate(fields)]
+    schema = StructType([*source.schema.fields[:-1], *made])
     kinds = [to_arrow_type(f.dataType) for f in fields]
     n = len(keep)
 
@@ -94,11 +84,11 @@ def append_from_text(
                 arrays = [*part.columns[:n], *(pa.array(v, kind) for v, kind in zip(made, kinds, strict=True))]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*keep, *[f.name for f in fields])
 
 
 def pieces(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """As ``slices``, from an Arrow column, before any text becomes a Python object."""
+    """Ranges of rows whose texts hold about SLICE_BYTES, before any text becomes a Python object."""
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
@@ -119,5 +109,3 @@ def unused(columns: Sequence[str], name: str) -> str:
         name += "_"
     return name
 
-
-__all__ = ["append_from_text", "c", "from_arrow_type", "remove", "shared_folder", "slices", "unused", "written"]

@@ -211,13 +211,30 @@ def decontaminate(
     if plan == "auto":
         size = benchmark.agg(F.sum(F.octet_length(c(item_text)) + F.lit(32))).first()[0] or 0
         plan = "broadcast" if size <= BROADCAST_BYTES else "join"
+    # Under names of our own inside, as a table's may be anything.
+    names, own = [*keep, *(f.name for f in _FIELDS)], [f"k{i}" for i in range(len(keep))]
+    rows = docs.select(*[c(k).alias(o) for k, o in zip(keep, own, strict=True)], c(text).alias("t"))
     if plan == "join":
-        return _join_plan(docs, benchmark, text, keep, item_id, item_text)
+        return _join_plan(rows, benchmark, "t", own, item_id, item_text).toDF(*names)
     items = [(r[0], bytes(r[1]) if r[1] is not None else None) for r in benchmark.select(c(item_id), c(item_text).cast("binary")).collect()]
-    return _broadcast_plan(docs, items, text, keep)
+    return _broadcast_plan(rows, items, "t", own).toDF(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """``op2_decontamination``: words of every document inside benchmark windows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for the rows of ``query``."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""WITH d AS (SELECT doc_id, {words} AS w FROM documents), i AS (SELECT item_id, {words} AS w FROM benchmark),
+    iw AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS win FROM (SELECT item_id, w, least(len(w), {WINDOW}) AS n, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) AS s FROM i WHERE len(w) > 0)),
+    dw AS (SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+    h AS (SELECT doc_id, item_id, s, dw.n FROM dw JOIN iw ON dw.win = iw.win AND dw.n = iw.n),
+    c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM h) GROUP BY doc_id),
+    k AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND {SHARE} * n_hit >= len(w), false) AS contaminated
+    FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id"""

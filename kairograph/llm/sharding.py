@@ -21,7 +21,7 @@ from .common import c
 
 #: Shape of the tree: shards of a rack, racks of a region.
 RACK, REGION = 4, 3
-#: Parts of a shard that are numbered on their own, by hash of the id.
+#: Parts of a shard that are numbered on their own: the first byte of the id's MD5.
 PARTS = 256
 SHARDS = 24
 
@@ -79,7 +79,7 @@ def assign(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = S
     new = _draw(F.col("__key"), tree(n + 1, [*(weights or [1.0] * n), added])[-1])
     rows = rows.withColumns({"shard": F.col("__at.shard"), "grown_shard": F.array_min(F.array("__at", new))["shard"]}).drop("__at")
     spread = F.when(c(doc_id).isNull(), F.col("text_crc32").cast("string")).otherwise(F.col("__key"))
-    rows = rows.withColumn("__part", F.pmod(F.xxhash64(spread), F.lit(PARTS)).cast("int")).drop("__key").repartition("shard", "__part")
+    rows = rows.withColumn("__part", F.conv(F.substring(F.md5(spread.cast("binary")), 1, 2), 16, 10).cast("int")).drop("__key").repartition("shard", "__part")
     own = Window.partitionBy("shard", "__part").orderBy(doc_id, "text_crc32", "size")
     before = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("shard", "__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
@@ -90,3 +90,16 @@ def assign(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = S
 def query(spark, sf_dir: str) -> DataFrame:
     """``op6_sharding``: shard and slot of every document."""
     return assign(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for the rows of ``query``; CRC-32 is folded byte by byte."""
+    step = "CASE WHEN z % 2 = 1 THEN xor(z >> 1, 3988292384) ELSE z >> 1 END"
+    entry = f"list_reduce(list_prepend(n::BIGINT, range(8)), lambda z, i: {step})"
+    key = "coalesce(doc_id::VARCHAR, '')"
+    draws = [f"[-ln((('0x' || substr(md5({key} || ':{s.number}'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE), {s.number}]" for s in tree(SHARDS + 1)]
+    folded = "xor(list_reduce(bytes, lambda a, x: xor(a >> 8, tab[xor(a, x) % 256 + 1])), 4294967295)"
+    return f"""WITH crc AS MATERIALIZED (SELECT list({entry} ORDER BY n) AS tab FROM generate_series(0, 255) g(n)),
+    b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)) AS bytes, list_min([{", ".join(draws[:-1])}])[2]::INT AS shard, list_min([{", ".join(draws)}])[2]::INT AS grown_shard FROM documents),
+    c AS (SELECT doc_id, size, {folded} AS text_crc32, shard, grown_shard FROM b, crc)
+    SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(CASE WHEN doc_id IS NULL THEN text_crc32::VARCHAR ELSE doc_id::VARCHAR END), 1, 2), doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM c"""
