@@ -45,23 +45,23 @@ def reverse_norm(spark, sf):
     return r6(G.reverse_norm(edges(spark, sf)), "norm")
 
 
-@query(with_(EDGES, _FEAT, "SELECT dst AS node, round(avg(x0), 5) AS x0, round(avg(x1), 9) AS x1 FROM (SELECT dst, x0, x1 FROM edges JOIN feat ON feat.node = src UNION ALL SELECT node, x0, x1 FROM feat WHERE node IN (SELECT dst FROM edges)) GROUP BY dst"))
+@query(with_(EDGES, _FEAT, "SELECT dst AS node, round(avg(x0), 9) AS x0, round(avg(x1), 9) AS x1 FROM (SELECT dst, x0, x1 FROM edges JOIN feat ON feat.node = src UNION ALL SELECT node, x0, x1 FROM feat WHERE node IN (SELECT dst FROM edges)) GROUP BY dst"))
 def neighbor_mean(spark, sf):
     out = G.neighbor_mean(edges(spark, sf), features(spark, sf), ["x0", "x1"], own=True)
-    return out.withColumns({"x0": F.round("x0", 5), "x1": F.round("x1", 9)})
+    return out.withColumns({"x0": F.round("x0", 9), "x1": F.round("x1", 9)})
 
 
-@query(with_(EDGES, _NORM, _FEAT, "SELECT dst AS node, round(sum(norm * x0), 5) AS x0, round(sum(norm * x1), 5) AS x1 FROM normed JOIN feat ON feat.node = src GROUP BY dst"))
+@query(with_(EDGES, _NORM, _FEAT, "SELECT dst AS node, round(sum(norm * x0), 7) AS x0, round(sum(norm * x1), 7) AS x1 FROM normed JOIN feat ON feat.node = src GROUP BY dst"))
 def gcn_propagate_1(spark, sf):
     out = G.propagate(G.gcn_norm(edges(spark, sf)), features(spark, sf), ["x0", "x1"])
-    return out.withColumns({c: F.round(c, 5) for c in ("x0", "x1")})
+    return out.withColumns({c: F.round(c, 7) for c in ("x0", "x1")})
 
 
-@query(with_(EDGES, _NORM, _FEAT, "one AS (SELECT dst AS node, sum(norm * x0) AS x0, sum(norm * x1) AS x1 FROM normed JOIN feat ON feat.node = src GROUP BY dst)", "SELECT dst AS node, round(sum(norm * x0), 4) AS x0, round(sum(norm * x1), 4) AS x1 FROM normed JOIN one ON one.node = src GROUP BY dst"))
+@query(with_(EDGES, _NORM, _FEAT, "one AS (SELECT dst AS node, sum(norm * x0) AS x0, sum(norm * x1) AS x1 FROM normed JOIN feat ON feat.node = src GROUP BY dst)", "SELECT dst AS node, round(sum(norm * x0), 7) AS x0, round(sum(norm * x1), 7) AS x1 FROM normed JOIN one ON one.node = src GROUP BY dst"))
 def gcn_propagate_2(spark, sf):
     normed = G.gcn_norm(edges(spark, sf))
     one = G.propagate(normed, features(spark, sf), ["x0", "x1"])
-    return G.propagate(normed, one, ["x0", "x1"]).withColumns({c: F.round(c, 4) for c in ("x0", "x1")})
+    return G.propagate(normed, one, ["x0", "x1"]).withColumns({c: F.round(c, 7) for c in ("x0", "x1")})
 
 
 @query(with_(EDGES, "SELECT pos, round(exp(w - max(w) OVER (PARTITION BY dst)) / (sum(exp(w - 50)) OVER (PARTITION BY dst) * exp(50 - max(w) OVER (PARTITION BY dst))), 6) AS share FROM edges"))

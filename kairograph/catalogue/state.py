@@ -107,12 +107,12 @@ def mail_delivery(spark, sf):
 @query(
     with_(
         EDGES, SNAP, "x AS (SELECT src AS node, snapshot, sum(w) AS x FROM snaps GROUP BY ALL)", "i AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY snapshot) AS k FROM x)",
-        "SELECT a.node, a.snapshot, round(sum(b.x * (1 - 0.9::DOUBLE) * pow(0.9::DOUBLE, a.k - b.k)), 8) AS state FROM i a JOIN i b ON b.node = a.node AND b.k <= a.k GROUP BY a.node, a.snapshot",
+        "SELECT a.node, a.snapshot, round(sum(b.x * (1 - 0.7310585786::DOUBLE) * pow(0.7310585786::DOUBLE, a.k - b.k)), 6) AS state FROM i a JOIN i b ON b.node = a.node AND b.k <= a.k GROUP BY a.node, a.snapshot",
     )
 )
 def recurrent_fold(spark, sf):
     rows = snapshots(spark, sf).groupBy(F.col("src").alias("node"), "snapshot").agg(F.sum("w").alias("x"))
-    return S.recurrent_fold(rows, 0.9).withColumn("state", F.round("state", 8))
+    return S.recurrent_fold(rows, 0.7310585786).withColumn("state", F.round("state", 6))
 
 
 _W = [[0.001, 0.02], [-0.002, 0.03]]
