@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import events, graph, metrics, neighbors, partition, sources, state, targets, temporal, views
+from . import events, graph, metrics, models, neighbors, partition, sources, state, targets, temporal, views
 from .base import QUERIES, SQL
 
-_AREAS = (sources, temporal, neighbors, graph, partition, targets, metrics, state, views, events)
+_AREAS = (sources, temporal, neighbors, graph, partition, targets, metrics, state, models, views, events)
 
 
 def queries() -> dict:
