@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,7 @@ class Plan:
     width: float
     reach: float
 
+    @cache  # noqa: B019 (a plan lives as long as its process)
     def directions(self, dim: int) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng(SEED)
         return rng.standard_normal((dim, self.tables * self.projections)), rng.uniform(0, self.width, self.tables * self.projections)
@@ -213,3 +215,12 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
 def query(spark, sf_dir: str) -> DataFrame:
     """``op9_embeddings``: links and component of every vector."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for the rows of ``query``."""
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {THRESHOLD}::DOUBLE),
+    r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+    n AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT a, min(b) AS m FROM r GROUP BY a)
+    SELECT vec_id, coalesce(n, 0) AS n_links, m AS component_id, vec_id = m AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN c ON c.a = vec_id"""
