@@ -54,32 +54,43 @@ def event_roots(ranks: DataFrame) -> DataFrame:
     return ranks.select("node", F.col("ts").alias("cutoff"), F.col("before").alias("degree")).distinct()
 
 
+def _newest_events(adjacency: DataFrame, k: int, columns: list[str]) -> DataFrame:
+    """Event roots with their newest ``k`` neighbours, from one window of k rows and no join.
+
+    The first row of a run of equal times has all earlier rows of its node, and
+    only those, in front of it.
+    """
+    own = Window.partitionBy("node").orderBy("ts", "pos", "dir")
+    newest = F.collect_list(F.struct(*columns)).over(own.rowsBetween(-k, -1))
+    rows = adjacency.select("node", F.col("ts").alias("cutoff"), newest.alias("__near"), (F.row_number().over(own) - 1).alias("degree"), F.lag("ts").over(own).alias("__before"))
+    rows = rows.where("degree > 0 and __before < cutoff")
+    out = rows.select("node", "cutoff", "degree", F.size("__near").alias("__n"), F.posexplode("__near").alias("__i", "__e"))
+    return out.select("node", "cutoff", "degree", "__e.*", (F.col("__n") - F.col("__i")).alias("back"))
+
+
 def recent(adjacency: DataFrame, roots: DataFrame | None, k: int, hub_safe: bool = False) -> DataFrame:
     """The newest ``k`` neighbours of each root: root columns, ``other, ts, pos, dir, back`` (1: newest), ``delta``.
 
     Without ``roots``: all nodes at all of their own times.
     """
-    ranks = ranked(adjacency, hub_safe)
-    roots = event_roots(ranks) if roots is None else counted_roots(roots, ranks)
-    out = _ranked_between(roots, ranks, k)
-    return out.select("node", "cutoff", "degree", "other", "ts", "pos", "dir", (F.col("degree") - F.col("rn") + 1).alias("back"), (F.col("cutoff") - F.col("ts")).alias("delta"))
+    if roots is None and not hub_safe:
+        near = _newest_events(adjacency, k, ["other", "ts", "pos", "dir"])
+    else:
+        ranks = ranked(adjacency, hub_safe)
+        roots = event_roots(ranks) if roots is None else counted_roots(roots, ranks)
+        near = _ranked_between(roots, ranks, k).withColumn("back", F.col("degree") - F.col("rn") + 1)
+    return near.select("node", "cutoff", "degree", "other", "ts", "pos", "dir", "back", (F.col("cutoff") - F.col("ts")).alias("delta"))
 
 
 def recent_stats(adjacency: DataFrame, k: int) -> DataFrame:
     """``node, cutoff, n_neighbors, min_delta, max_delta, sum_pos`` of the newest ``k``, for all event roots.
 
-    The newest k are a run of ranks, so prefix sums and two looked-up ranks give
-    the figures: no neighbour lists are made.
+    Aggregates over the window of ``_newest_events``: no neighbour lists are made.
     """
-    ranks = ranked(adjacency)
-    upto = F.sum("pos").over(Window.partitionBy("node").orderBy("ts", "pos", "dir"))
-    rows = ranks.select("node", "rn", "before", "ts", upto.alias("total"))
-    roots = rows.select("node", F.col("ts").alias("cutoff"), "before").distinct().where("before > 0")
-    at = rows.select("node", "rn", "ts", "total")
-    # Each rank is asked for as newest, as oldest and as the one before the oldest.
-    asked = roots.select("node", "cutoff", "before", F.inline(F.array(F.struct(F.col("before").alias("rn"), F.lit("new").alias("as")), F.struct(F.greatest(F.col("before") - k + 1, F.lit(1)).alias("rn"), F.lit("old").alias("as")), F.struct((F.col("before") - k).alias("rn"), F.lit("out").alias("as")))))
-    got = asked.where("rn > 0").join(at, ["node", "rn"]).groupBy("node", "cutoff", "before").agg(F.max(F.when(F.col("as") == "new", F.col("ts"))).alias("newest"), F.max(F.when(F.col("as") == "old", F.col("ts"))).alias("oldest"), F.max(F.when(F.col("as") == "new", F.col("total"))).alias("sum_new"), F.max(F.when(F.col("as") == "out", F.col("total"))).alias("sum_out"))
-    return got.select("node", "cutoff", F.least(F.col("before"), F.lit(k)).cast("long").alias("n_neighbors"), (F.col("cutoff") - F.col("newest")).alias("min_delta"), (F.col("cutoff") - F.col("oldest")).alias("max_delta"), (F.col("sum_new") - F.coalesce("sum_out", F.lit(0))).alias("sum_pos"))
+    own = Window.partitionBy("node").orderBy("ts", "pos", "dir")
+    near, at = own.rowsBetween(-k, -1), F.col("ts")
+    rows = adjacency.select("node", at.alias("cutoff"), F.count("*").over(near).alias("n_neighbors"), (at - F.max("ts").over(near)).alias("min_delta"), (at - F.min("ts").over(near)).alias("max_delta"), F.sum("pos").over(near).alias("sum_pos"), F.lag("ts").over(own).alias("__before"))
+    return rows.where("__before < cutoff").drop("__before")
 
 
 def uniform(adjacency: DataFrame, roots: DataFrame | None, k: int, salt: int = 17) -> DataFrame:
@@ -114,14 +125,20 @@ def weighted(adjacency: DataFrame, roots: DataFrame | None, k: int, salt: int =
     return both.withColumn("hit", next_hit).where("root is not null").select("node", "root.*", "hit.*")
 
 
+def _twice(adjacency: DataFrame, roots: DataFrame | None, k: int) -> DataFrame:
+    """The newest ``2 k`` neighbours with their ``boundary``."""
+    if roots is None:
+        return _newest_events(adjacency, 2 * k, ["other", "ts", "pos", "dir", "boundary"])
+    ranks = ranked(adjacency)
+    return _ranked_between(counted_roots(roots, ranks), ranks, 2 * k).withColumn("back", F.col("degree") - F.col("rn") + 1)
+
+
 def boundary_recent(adjacency: DataFrame, roots: DataFrame | None, k: int, keep: float, salt: int = 23) -> DataFrame:
     """The newest ``k`` of the ``2 k`` newest neighbours, of which boundary rows stay with probability ``keep`` only.
 
     ``adjacency`` has a boolean ``boundary``.
     """
-    ranks = ranked(adjacency)
-    roots = event_roots(ranks) if roots is None else counted_roots(roots, ranks)
-    near = _ranked_between(roots, ranks, 2 * k).withColumn("back", F.col("degree") - F.col("rn") + 1)
+    near = _twice(adjacency, roots, k)
     stay = ~F.col("boundary") | (uniform01(F.col("node") + F.col("pos") * 31, F.col("cutoff"), salt) < keep)
     order = Window.partitionBy("node", "cutoff").orderBy("back")
     return near.where(stay).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("node", "cutoff", "other", "ts", "pos", "dir", "boundary", "back", "place")
@@ -133,9 +150,7 @@ def boundary_decay(adjacency: DataFrame, roots: DataFrame | None, k: int, keep:
     A boundary row of age a gets e = exp(-a / s), with s the newest row's age
     times ``k``, and stays with probability keep * n * e / sum of e.
     """
-    ranks = ranked(adjacency)
-    roots = event_roots(ranks) if roots is None else counted_roots(roots, ranks)
-    near = _ranked_between(roots, ranks, 2 * k).withColumn("back", F.col("degree") - F.col("rn") + 1)
+    near = _twice(adjacency, roots, k)
     of = Window.partitionBy("node", "cutoff")
     scale = (F.col("cutoff") - F.max("ts").over(of)) * F.lit(k)
     e = F.exp((F.col("ts") - F.col("cutoff")) / scale.cast("double"))

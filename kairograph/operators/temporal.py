@@ -125,9 +125,13 @@ def label_windows(labels: DataFrame, windows: DataFrame) -> DataFrame:
     ``windows`` has ``split, window, end_ts`` and is of bounded size; windows
     without rows (null ``end_ts``) are passed over.
     """
-    ends = windows.where("end_ts is not null").groupBy("split").agg(F.sort_array(F.collect_list(F.struct("end_ts", "window"))).alias("ends"))
-    first = F.try_element_at(F.filter("ends", lambda w: w["end_ts"] >= F.col("ts")), F.lit(1))["window"]
-    return labels.join(F.broadcast(ends), "split").select(*labels.columns, F.coalesce(first, F.element_at("ends", -1)["window"]).alias("window"))
+    ends = windows.where("end_ts is not null").groupBy("split", "end_ts").agg(F.min("window").alias("window"), F.max("window").alias("__last"))
+    of = Window.partitionBy("split")
+    spans = ends.select("split", "window", F.col("end_ts").alias("__high"), F.lag("end_ts").over(of.orderBy("end_ts")).alias("__low"), F.max("__last").over(of).alias("__last"))
+    late = spans.groupBy("split").agg(F.max("__last").alias("__last"))
+    inside = (labels["split"] == spans["split"]) & (labels["ts"] <= spans["__high"]) & (spans["__low"].isNull() | (labels["ts"] > spans["__low"]))
+    out = labels.join(F.broadcast(spans.drop("__last")), inside, "left").drop(spans["split"])
+    return out.join(F.broadcast(late), "split").select(*labels.columns, F.coalesce("window", "__last").alias("window"))
 
 
 def label_splits(labels: DataFrame, ranges: DataFrame) -> DataFrame:
