@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
@@ -45,10 +45,15 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` as a table in the shared folder, read again: cuts lineage, survives lost executors."""
+    """``df`` as a table in the shared folder, read again: cuts lineage, survives lost executors.
+
+    It goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     df.write.parquet(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -87,6 +92,24 @@ def append_from_text(
     return source.mapInArrow(run, schema).toDF(*keep, *[f.name for f in fields])
 
 
+def least_hashes(rows: DataFrame, key: Column, k: int, by: str | None = None) -> DataFrame:
+    """The ``k`` rows with the smallest hashes of ``key`` (of each value of ``by``), with ``h``.
+
+    A group's count tells which hashes can be among its smallest, so all but a
+    few rows fall away where they are read, and none gathers a group.  Ties go
+    by the other columns.
+    """
+    group = [by] if by else []
+    rows = rows.withColumn("h", F.xxhash64(key))
+    counts = rows.groupBy(*group).agg(F.count("*").alias("__n"))
+    # Six times the share that is asked for holds k rows but in one case of e^-(k * 2) or fewer.
+    limit = F.lit(-float(1 << 63)) + F.least(F.lit(1.0), F.lit(6.0 * k) / F.col("__n")) * float(1 << 64)
+    near = rows.join(F.broadcast(counts), by) if by else rows.crossJoin(F.broadcast(counts))  # one row
+    near = near.where(F.col("h") <= limit).drop("__n")
+    order = Window.partitionBy(*group).orderBy("h", *[x for x in near.columns if x not in ("h", by)])
+    return near.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k).drop("__r")
+
+
 def pieces(column: pa.Array) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts hold about SLICE_BYTES, before any text becomes a Python object."""
     import pyarrow.compute as pc
