@@ -40,9 +40,9 @@ def diffusion_norm(spark, sf):
     return G.diffusion_norm(edges(spark, sf)).withColumns({c: F.round(c, 12) for c in ("forward", "backward")})
 
 
-@query(with_(EDGES, "SELECT src, round(1.0 / count(*), 6) AS norm FROM edges GROUP BY src"))
+@query(with_(EDGES, "SELECT src, round(1.0::DOUBLE / count(*), 12) AS norm FROM edges GROUP BY src"))
 def reverse_norm(spark, sf):
-    return r6(G.reverse_norm(edges(spark, sf)), "norm")
+    return G.reverse_norm(edges(spark, sf)).withColumn("norm", F.round("norm", 12))
 
 
 @query(with_(EDGES, _FEAT, "SELECT dst AS node, round(avg(x0), 9) AS x0, round(avg(x1), 9) AS x1 FROM (SELECT dst, x0, x1 FROM edges JOIN feat ON feat.node = src UNION ALL SELECT node, x0, x1 FROM feat WHERE node IN (SELECT dst FROM edges)) GROUP BY dst"))
@@ -69,9 +69,10 @@ def grouped_softmax(spark, sf):
     return r6(G.grouped_softmax(edges(spark, sf), ["dst"], "w"), "share").select("pos", "share")
 
 
-@query(with_(EDGES, SNAP, "SELECT snapshot, round(avg(price), 6) AS mean_price, round(avg(disc), 6) AS mean_disc, max(price) AS max_price, max(disc) AS max_disc FROM snaps GROUP BY snapshot"))
+@query(with_(EDGES, SNAP, "SELECT snapshot, round(avg(price), 8) AS mean_price, round(avg(disc), 11) AS mean_disc, max(price) AS max_price, max(disc) AS max_disc FROM snaps GROUP BY snapshot"))
 def snapshot_context(spark, sf):
-    return r6(G.snapshot_context(snapshots(spark, sf), "snapshot", ["price", "disc"]), "mean_price", "mean_disc")
+    out = G.snapshot_context(snapshots(spark, sf), "snapshot", ["price", "disc"])
+    return out.withColumns({"mean_price": F.round("mean_price", 8), "mean_disc": F.round("mean_disc", 11)})
 
 
 @query(with_(EDGES, ADJ, "SELECT node, ts, w, pos FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY ts DESC, pos DESC) AS r FROM adj) WHERE r = 1"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import models as M
 from ..operators import state as S
-from .base import ADJ, EDGES, SNAP, adjacency, edges, features, query, r6, snapshots, with_
+from .base import ADJ, EDGES, HOT, SNAP, adjacency, edges, features, hot, query, snapshots, with_
 
 _HALF = "half AS (SELECT count(*) // 2 AS h FROM edges)"
 _LATEST = "SELECT node, ts, w AS value FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY ts DESC, pos DESC) AS r FROM adj, half WHERE {where}) WHERE r = 1"
@@ -29,9 +29,11 @@ def state_commit(spark, sf):
     return S.commit(_latest(spark, sf, F.col("pos") < h), updates)
 
 
-@query(with_(EDGES, ADJ, _HALF, "a AS (" + _LATEST.format(where="pos < h + 1000") + ")", "b AS (" + _LATEST.format(where="pos % 3 = 0") + ")", "SELECT a.node, CASE WHEN b.ts > a.ts THEN b.ts ELSE a.ts END AS ts, CASE WHEN b.ts > a.ts THEN b.value ELSE a.value END AS value, CASE WHEN b.ts > a.ts THEN 'hot' ELSE 'own' END AS source FROM a LEFT JOIN b ON a.node = b.node"))
+@query(with_(EDGES, ADJ, HOT, _HALF, "a AS (" + _LATEST.format(where="pos < h") + ")", "b AS (" + _LATEST.format(where="node IN (SELECT node FROM hot)") + ")", "SELECT a.node, CASE WHEN b.ts > a.ts THEN b.ts ELSE a.ts END AS ts, CASE WHEN b.ts > a.ts THEN b.value ELSE a.value END AS value, CASE WHEN b.ts > a.ts THEN 'hot' ELSE 'own' END AS source FROM a LEFT JOIN b ON a.node = b.node"))
 def overlay_newest(spark, sf):
-    return S.overlay_newest(_latest(spark, sf, F.col("pos") < _half(spark, sf) + 1000), _latest(spark, sf, F.col("pos") % 3 == 0))
+    """The state of the first half, with the newest copies of hot nodes."""
+    newest = G.latest(G.semi(adjacency(spark, sf), hot(spark, sf), "node").withColumnRenamed("w", "value"), ["node"], ["value"])
+    return S.overlay_newest(_latest(spark, sf, F.col("pos") < _half(spark, sf)), newest)
 
 
 _HIST = "hist AS (SELECT src AS node, snapshot + 1 AS version, sum(w) AS value FROM snaps GROUP BY ALL)"
@@ -66,14 +68,14 @@ def history_asof(spark, sf):
 _INC = "inc AS (SELECT node, version, value, count(*) OVER w AS n, avg(step) OVER w AS mean_inc FROM (SELECT *, (value - lag(value, 1, 0.0) OVER (PARTITION BY node ORDER BY version)) / (version - lag(version, 1, 0) OVER (PARTITION BY node ORDER BY version)) AS step FROM hist) WINDOW w AS (PARTITION BY node ORDER BY version ROWS UNBOUNDED PRECEDING))"
 
 
-@query(with_(EDGES, SNAP, _HIST, _INC, "SELECT node, version, n, round(mean_inc, 6) AS mean_inc FROM inc"))
+@query(with_(EDGES, SNAP, _HIST, _INC, "SELECT node, version, n, round(mean_inc, 9) AS mean_inc FROM inc"))
 def increment_mean(spark, sf):
-    return r6(S.increments(_history(spark, sf)), "mean_inc")
+    return S.increments(_history(spark, sf)).withColumn("mean_inc", F.round("mean_inc", 9))
 
 
-@query(with_(EDGES, SNAP, _HIST, _INC, _ASKED, "SELECT node, version, round(coalesce(value + (version - found) * mean_inc, 0), 5) AS predicted FROM (SELECT a.node, a.version, max(h.version) AS found, arg_max(h.value, h.version) AS value, arg_max(h.mean_inc, h.version) AS mean_inc FROM asked a LEFT JOIN inc h ON h.node = a.node AND h.version <= a.version GROUP BY a.node, a.version)"))
+@query(with_(EDGES, SNAP, _HIST, _INC, _ASKED, "SELECT node, version, round(coalesce(value + (version - found) * mean_inc, 0), 9) AS predicted FROM (SELECT a.node, a.version, max(h.version) AS found, arg_max(h.value, h.version) AS value, arg_max(h.mean_inc, h.version) AS mean_inc FROM asked a LEFT JOIN inc h ON h.node = a.node AND h.version <= a.version GROUP BY a.node, a.version)"))
 def history_predict(spark, sf):
-    return S.predict(_history(spark, sf), _asked(spark, sf)).withColumn("predicted", F.round("predicted", 5))
+    return S.predict(_history(spark, sf), _asked(spark, sf)).withColumn("predicted", F.round("predicted", 9))
 
 
 @query(with_(EDGES, SNAP, _HIST, "c AS (SELECT node, version, abs(value - lag(value, 1, 0.0) OVER (PARTITION BY node ORDER BY version)) AS change FROM hist)", "d AS (SELECT *, sum(CASE WHEN change >= 40 THEN 1 ELSE 0 END) OVER (PARTITION BY node ORDER BY version) AS run FROM c)", "SELECT node, version, change >= 40 OR sum(CASE WHEN change >= 40 THEN 0 ELSE 1 END) OVER (PARTITION BY node, run ORDER BY version) % 3 = 0 AS published FROM d"))

@@ -62,10 +62,10 @@ def read_layout(spark, sf):
     return V.read_layout(edges(spark, sf).select(F.floor(F.col("pos") / 5000).alias("batch"), F.col("dst").alias("node")), placed)
 
 
-@query(with_(EDGES, "SELECT DISTINCT dst AS node, true AS is_head FROM edges WHERE pos < 500 UNION ALL SELECT DISTINCT src, false FROM edges WHERE pos < 1000"))
+@query(with_(EDGES, "SELECT DISTINCT dst AS node, true AS is_head FROM edges UNION ALL SELECT DISTINCT src, false FROM edges"))
 def heads_first(spark, sf):
     e = edges(spark, sf)
-    return V.heads_first(e.where("pos < 500").select(F.col("dst").alias("node")), e.where("pos < 1000").select(F.col("src").alias("node")))
+    return V.heads_first(e.select(F.col("dst").alias("node")), e.select(F.col("src").alias("node")).union(e.select("dst")))
 
 
 @query(with_(EDGES, _WIN, _DELTA, 'SELECT "window", node, ts, pos FROM delta'))
@@ -78,17 +78,16 @@ def hot_refresh(spark, sf):
     return V.hot_refresh(V.state_delta(_batches(spark, sf)), hot(spark, sf), 4)
 
 
-@query(with_(EDGES, SNAP, OWNERS, _HIST, "r AS (SELECT DISTINCT b.part AS to_part, src AS node FROM snaps JOIN owners a ON a.node = src JOIN owners b ON b.node = dst WHERE a.part <> b.part)", "SELECT to_part, r.node, version, value FROM r JOIN hist ON hist.node = r.node WHERE version > 60"))
+@query(with_(EDGES, SNAP, OWNERS, _HIST, "r AS (SELECT DISTINCT b.part AS to_part, src AS node FROM snaps JOIN owners a ON a.node = src JOIN owners b ON b.node = dst WHERE a.part <> b.part)", "SELECT to_part, r.node, version, value FROM r JOIN hist ON hist.node = r.node"))
 def boundary_push(spark, sf):
     routes = P.exchange_route(snapshots(spark, sf), owners(spark, sf), "snapshot")
-    return V.boundary_push(_history(spark, sf).where("version > 60"), routes)
+    return V.boundary_push(_history(spark, sf), routes)
 
 
-@query(with_(EDGES, SNAP, "a AS (SELECT src AS node, sum(w) AS s0 FROM snaps WHERE snapshot = 3 GROUP BY 1), b AS (SELECT DISTINCT src AS node FROM snaps WHERE snapshot = 4)", "SELECT b.node, coalesce(s0, 0) AS s0 FROM b LEFT JOIN a ON a.node = b.node"))
+@query(with_(EDGES, SNAP, "a AS (SELECT snapshot, src AS node, sum(w) AS s0 FROM snaps GROUP BY ALL)", "SELECT b.snapshot, b.node, coalesce(a.s0, 0) AS s0 FROM a b LEFT JOIN a ON a.node = b.node AND a.snapshot = b.snapshot - 1"))
 def carry_alignment(spark, sf):
-    s = snapshots(spark, sf)
-    before = s.where("snapshot = 3").groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("s0"))
-    return V.carry(s.where("snapshot = 4").select(F.col("src").alias("node")).distinct(), before, ["s0"])
+    state = snapshots(spark, sf).groupBy("snapshot", F.col("src").alias("node")).agg(F.sum("w").alias("s0"))
+    return V.carry(state.select("snapshot", "node"), state, ["s0"], "snapshot")
 
 
 @query(with_(EDGES, "n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges)", "SELECT node, " + ", ".join(f"round(sqrt(-2 * ln(1 - {uniform01_sql('node', str(2 * i), 7)})) * cos(6.283185307179586::DOUBLE * {uniform01_sql('node', str(2 * i + 1), 7)}), 8) AS x{i}" for i in (0, 1)) + " FROM n"))
@@ -120,10 +119,13 @@ def snapshot_history_k(spark, sf):
     return N.snapshot_history(_snapshot_adjacency(spark, sf), 2, 2)
 
 
-@query(with_(EDGES, ADJ, "SELECT node, other, pos, CASE WHEN other % 10 = 0 THEN 100.0::DOUBLE ELSE w END AS w FROM adj WHERE dir = 1 AND pos < 5000 UNION ALL SELECT dst, src, pos, CASE WHEN src % 10 = 0 THEN 100.0::DOUBLE ELSE w END FROM edges WHERE pos >= 5000 AND pos < 9000"))
+_KEPT = "CASE WHEN {o} IN (SELECT node FROM hot) THEN 100.0::DOUBLE ELSE w END AS w"
+
+
+@query(with_(EDGES, HOT, f"SELECT dst AS node, src AS other, pos, {_KEPT.format(o='src')} FROM edges"))
 def neighbor_store(spark, sf):
-    """Appended, with some positions given again, and reweighted by neighbour."""
+    """Half of the rows, the other half appended with some given again, and hot neighbours reweighted."""
     rows = edges(spark, sf).select(F.col("dst").alias("node"), F.col("src").alias("other"), "pos", "w")
-    store = V.store_append(rows.where("pos < 5500"), rows.where("pos >= 5000 and pos < 9000"))
-    heavy = nodes(spark, sf).where("node % 10 = 0").select(F.col("node").alias("other"), F.lit(100.0).alias("w"))
-    return V.store_reweight(store, heavy, "other").select("node", "other", "pos", "w")
+    half = rows.count() // 2
+    store = V.store_append(rows.where(F.col("pos") < half + 500), rows.where(F.col("pos") >= half))
+    return V.store_reweight(store, hot(spark, sf).select(F.col("node").alias("other"), F.lit(100.0).alias("w")), "other").select("node", "other", "pos", "w")

@@ -76,9 +76,10 @@ def boundary_push(history: DataFrame, routes: DataFrame) -> DataFrame:
     return routes.select("to_part", "node").distinct().join(history, "node").select("to_part", "node", "version", "value")
 
 
-def carry(now: DataFrame, before: DataFrame, columns: list[str]) -> DataFrame:
-    """This window's nodes with the last window's state; new nodes begin with zeros."""
-    return now.select("node").join(before.select("node", *columns), "node", "left").fillna(0.0, columns)
+def carry(now: DataFrame, before: DataFrame, columns: list[str], by: str) -> DataFrame:
+    """Each window's nodes (``by, node``) with their state of the window before; new nodes begin with zeros."""
+    last = before.select((F.col(by) + 1).alias(by), "node", *columns)
+    return now.select(by, "node").join(last, [by, "node"], "left").fillna(0.0, columns)
 
 
 def store_append(adjacency: DataFrame, more: DataFrame) -> DataFrame:
