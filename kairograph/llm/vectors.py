@@ -38,6 +38,8 @@ THRESHOLD = 0.93
 COUNT, RECALL = 2, 0.99
 #: Most classes of a cell that one task compares with as many others.
 CELL = 1024
+#: Vectors that are projected at once.
+TOGETHER = 1024
 #: Unrelated vectors that a vector meets in a table, at most, on average.
 STRANGERS = 0.1
 #: Cell width and half the window's width, as multiples of the threshold's distance.
@@ -120,8 +122,7 @@ def _cells(plan: Plan):
 def _compare(plan: Plan, threshold: float, count: int):
     """Links inside a group of classes, or between its two sides, first found in this table."""
 
-    def links(table: int, nodes: np.ndarray, sides: np.ndarray, unit: np.ndarray, two: bool) -> tuple[np.ndarray, np.ndarray]:
-        key, last = plan.place(unit)
+    def links(table: int, nodes: np.ndarray, sides: np.ndarray, unit: np.ndarray, two: bool, key: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(last[:, table], kind="stable")
         nodes, sides, unit, key, last = nodes[order], sides[order], unit[order], key[order], last[order]
         to = np.searchsorted(last[:, table], last[:, table] + plan.reach, side="right")
@@ -145,29 +146,51 @@ def _compare(plan: Plan, threshold: float, count: int):
         y = np.concatenate([f[1] for f in found]) if found else np.empty(0, np.int64)
         return nodes[x], nodes[y]
 
+    def forest(table: int, two: bool, members: list[dict], unit: np.ndarray, key: np.ndarray, last: np.ndarray) -> list[tuple[int, int | None, int]]:
+        """Links that join what isn't joined yet, and each class's number of linked rows."""
+        nodes = np.array([m["node"] for m in members], np.int64)
+        size = {m["node"]: m["size"] for m in members}
+        x, y = links(table, nodes, np.array([m["side"] for m in members], bool), unit, two, key, last)
+        degree: dict[int, int] = {}
+        parent: dict[int, int] = {}
+        out: list[tuple[int, int | None, int]] = []
+
+        def root(v: int) -> int:
+            while (p := parent.setdefault(v, v)) != v:
+                parent[v] = v = parent[p]
+            return v
+
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            degree[a] = degree.get(a, 0) + size[b]
+            degree[b] = degree.get(b, 0) + size[a]
+            if (p := root(a)) != (q := root(b)):
+                parent[p] = q
+                out.append((a, b, 0))
+        return out + [(v, None, n) for v, n in degree.items()]
+
+    def together(groups: list[tuple]) -> Iterator[tuple[int, int | None, int]]:
+        """Groups of vectors of one length, projected at once."""
+        unit = _unit([m["vector"] for _, _, members in groups for m in members])
+        key, last = plan.place(unit)
+        begin = 0
+        for table, two, members in groups:
+            end = begin + len(members)
+            yield from forest(table, two, members, unit[begin:end], key[begin:end], last[begin:end])
+            begin = end
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(len(batch)):
-                table, two, members = (batch.column(i)[row].as_py() for i in range(3))
-                nodes = np.array([m["node"] for m in members], np.int64)
-                size = dict(zip(nodes.tolist(), (m["size"] for m in members), strict=True))
-                x, y = links(table, nodes, np.array([m["side"] for m in members], bool), _unit([m["vector"] for m in members]), two)
-                degree: dict[int, int] = {}
-                parent: dict[int, int] = {}
+            for start in range(0, len(batch), 256):
+                rows = zip(*(batch.column(i).slice(start, 256).to_pylist() for i in range(3)), strict=True)
+                waiting: dict[int, list[tuple]] = {}
                 out: list[tuple[int, int | None, int]] = []
-
-                def root(v: int, parent=parent) -> int:
-                    while (p := parent.setdefault(v, v)) != v:
-                        parent[v] = v = parent[p]
-                    return v
-
-                for a, b in zip(x.tolist(), y.tolist(), strict=True):
-                    degree[a] = degree.get(a, 0) + size[b]
-                    degree[b] = degree.get(b, 0) + size[a]
-                    if (p := root(a)) != (q := root(b)):
-                        parent[p] = q
-                        out.append((a, b, 0))
-                out += [(v, None, n) for v, n in degree.items()]
+                for group in rows:
+                    same = waiting.setdefault(len(group[2][0]["vector"]), [])
+                    same.append(group)
+                    if sum(len(g[2]) for g in same) >= TOGETHER:
+                        out += together(waiting.pop(len(group[2][0]["vector"])))
+                for same in waiting.values():
+                    out += together(same)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], names=["a", "b", "n"])
 
