@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..sources.tables import shared_folder
+from ..sources.tables import delete_at_exit, new_path
 from ..streaming import events as S
 from .base import events, query
 
@@ -32,8 +30,10 @@ def events_session(spark, sf):
 
 
 def _drain(spark, stream, mode):
-    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    return S.drained(stream, f"{at}/rows", f"{at}/checkpoint", mode)
+    at = new_path(spark, "stream")
+    rows = S.drained(stream, f"{at}/rows", f"{at}/checkpoint", mode)
+    delete_at_exit(spark, at)
+    return rows
 
 
 @query(_TUMBLE)

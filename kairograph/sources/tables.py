@@ -27,6 +27,17 @@ def delete(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of the shared folder that nothing has."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Let an existing path go when the driver ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists, in any file system that Spark reads."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -36,10 +47,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read again; it goes when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
