@@ -14,10 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 from pyspark.sql.types import DoubleType, StringType, StructField
 
-from .common import append_from_text, c
+from .common import append_from_text, c, least_hashes, remove, written
 
 #: The fit reads this many labelled documents of each language at most, chosen by hash of the id.
 DOCS_PER_LANGUAGE = 1500
@@ -122,8 +121,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     of each.  Without labelled rows the filter is empty and all is ``und``.
     """
     rows = docs.where((fold(c(doc_id), 3) != 1) & c(lang).isNotNull() & c(text).isNotNull())
-    first = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = rows.select(c(lang).alias("lang"), F.xxhash64(c(doc_id)).alias("h"), c(doc_id).alias("id")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= DOCS_PER_LANGUAGE)
+    chosen = least_hashes(rows.select(c(lang).alias("lang"), c(doc_id).alias("id")), F.col("id"), DOCS_PER_LANGUAGE, "lang")
     texts = rows.select(c(doc_id).alias("id"), c(lang).alias("lang"), c(text).cast("binary").alias("t")).join(F.broadcast(chosen.select("id", "lang").distinct()), ["id", "lang"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,9 +134,11 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
                 grams, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams)), pa.array(grams.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    counts = texts.select("lang", "t").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= NGRAMS_PER_LANGUAGE)
-    table = top.select("lang", "gram", "n").toArrow()
+    counts, path = written(texts.select("lang", "t").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ngrams")
+    cuts = _cuts(counts.groupBy("lang", "n").count().toArrow().to_pylist())  # a row for each count that occurs
+    kept = F.create_map(*[x for name, n in cuts.items() for x in (F.lit(name), F.lit(n))]) if cuts else None
+    table = counts.where(F.col("n") >= F.try_element_at(kept, F.col("lang")) if cuts else F.lit(False)).toArrow()
+    remove(docs.sparkSession, path)
     names, grams, n = np.array(table["lang"].to_pylist(), object), table["gram"].to_numpy(), table["n"].to_numpy().astype(float)
     languages = sorted(set(names.tolist()))
     distinct, at = np.unique(grams, return_inverse=True)
@@ -151,6 +151,23 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     return Filter(languages, {name: grams[own & (names == name)].astype(np.int64).view(np.uint64) for name in languages})
 
 
+def _cuts(histogram: list[dict]) -> dict[str, int]:
+    """The least count of each language with which its n-grams stay within ``NGRAMS_PER_LANGUAGE``."""
+    by: dict[str, list[tuple[int, int]]] = {}
+    for row in histogram:
+        by.setdefault(row["lang"], []).append((row["n"], row["count"]))
+    cuts = {}
+    for name, pairs in by.items():
+        total, least = 0, max(n for n, _ in pairs) + 1
+        for n, many in sorted(pairs, reverse=True):
+            total += many
+            if total > NGRAMS_PER_LANGUAGE:
+                break
+            least = n
+        cuts[name] = least
+    return cuts
+
+
 def identify(docs: DataFrame, model: Filter, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns, ``lang_pred``, ``score`` and ``coverage`` of every text.
 

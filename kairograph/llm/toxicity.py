@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField
 
-from .common import append_from_text, c
+from .common import append_from_text, c, least_hashes
 from .language import fold
 
 FOLDS = 5
@@ -183,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     labelled rows every score is that of an even chance.
     """
     known = labels.where(c(doc_id).isNotNull() & c(label).isin(0, 1) & (fold(c(doc_id), FOLDS) != 0)).select(c(doc_id).alias("id"), c(label).cast("int").alias("y"))
-    chosen = known.withColumn("h", F.xxhash64("id")).orderBy("h", "id", "y").limit(ROWS).groupBy("id").agg(F.max("y").alias("y"), F.first("h").alias("h"))
+    chosen = least_hashes(known, F.col("id"), ROWS).groupBy("id").agg(F.max("y").alias("y"), F.first("h").alias("h"))
     rows = docs.select(c(doc_id).alias("id"), c(text).cast("binary").alias("t")).join(F.broadcast(chosen), "id").select("id", "h", "y", "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
