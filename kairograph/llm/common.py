@@ -102,8 +102,8 @@ def least_hashes(rows: DataFrame, key: Column, k: int, by: str | None = None) ->
     group = [by] if by else []
     rows = rows.withColumn("h", F.xxhash64(key))
     counts = rows.groupBy(*group).agg(F.count("*").alias("__n"))
-    # Six times the share that is asked for holds k rows but in one case of e^-(k * 2) or fewer.
-    limit = F.lit(-float(1 << 63)) + F.least(F.lit(1.0), F.lit(6.0 * k) / F.col("__n")) * float(1 << 64)
+    # Eight standard errors above the share that is asked for, so k rows are among them.
+    limit = F.lit(-float(1 << 63)) + F.least(F.lit(1.0), F.lit(k + 8 * k**0.5 + 20) / F.col("__n")) * float(1 << 64)
     near = rows.join(F.broadcast(counts), by) if by else rows.crossJoin(F.broadcast(counts))  # one row
     near = near.where(F.col("h") <= limit).drop("__n")
     order = Window.partitionBy(*group).orderBy("h", *[x for x in near.columns if x not in ("h", by)])
