@@ -122,6 +122,36 @@ def _cells(plan: Plan):
 def _compare(plan: Plan, threshold: float, count: int):
     """Links inside a group of classes, or between its two sides, first found in this table."""
 
+    def collide(x: np.ndarray, y: np.ndarray, tables: slice, key: np.ndarray, last: np.ndarray) -> np.ndarray:
+        key, last = key[:, tables], last[:, tables]
+        return (key[x] == key[y]) & (np.abs(last[x] - last[y]) <= plan.reach)
+
+    def close(x: np.ndarray, y: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        return np.einsum("ij,ij->i", unit[x], unit[y]) >= threshold
+
+    def verified(x: np.ndarray, y: np.ndarray, table: int, unit: np.ndarray, key: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that first collide here, collide often enough, and are close.
+
+        Near copies collide early, so in large groups earlier tables sort most
+        pairs out; in small ones, mostly of strangers, the cosine does.
+        """
+        few = len(x) <= 64
+        if few:
+            keep = close(x, y, unit)
+            x, y = x[keep], y[keep]
+        for begin in range(0, table, 8):
+            if not len(x):
+                break
+            keep = ~collide(x, y, slice(begin, min(table, begin + 8)), key, last).any(axis=1)
+            x, y = x[keep], y[keep]
+        if len(x):
+            keep = collide(x, y, slice(None), key, last).sum(axis=1) >= count
+            x, y = x[keep], y[keep]
+        if len(x) and not few:
+            keep = close(x, y, unit)
+            x, y = x[keep], y[keep]
+        return x, y
+
     def links(table: int, nodes: np.ndarray, sides: np.ndarray, unit: np.ndarray, two: bool, key: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(last[:, table], kind="stable")
         nodes, sides, unit, key, last = nodes[order], sides[order], unit[order], key[order], last[order]
@@ -136,12 +166,7 @@ def _compare(plan: Plan, threshold: float, count: int):
                 keep &= sides[a] != sides[b]
             a, b = a[keep], b[keep]
             for at in range(0, len(a), 20_000):
-                x, y = a[at : at + 20_000], b[at : at + 20_000]
-                hit = (key[x] == key[y]) & (np.abs(last[x] - last[y]) <= plan.reach)
-                good = (hit.sum(axis=1) >= count) & ~hit[:, :table].any(axis=1)
-                x, y = x[good], y[good]
-                close = np.einsum("ij,ij->i", unit[x], unit[y]) >= threshold
-                found.append((x[close], y[close]))
+                found.append(verified(a[at : at + 20_000], b[at : at + 20_000], table, unit, key, last))
         x = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
         y = np.concatenate([f[1] for f in found]) if found else np.empty(0, np.int64)
         return nodes[x], nodes[y]
