@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.llm import decontaminate, language, pii, sentencepiece_scan, simhash
+from kairograph.llm import decontaminate, language, near_copies, pii, sentencepiece_scan
 from kairograph.llm.common import unused, written
 
 
@@ -20,8 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
-    return simhash.one_of_each(docs)
+    """Keeps the document with the smallest id of each group of near copies: 5-word shingles, Jaccard similarity 0.8 or more."""
+    return near_copies.one_of_each(docs)
 
 
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
