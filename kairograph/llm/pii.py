@@ -80,7 +80,7 @@ class Kind:
 KINDS = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:[.][A-Za-z0-9-]++)++", "@", lambda m: F.lit(True), 0.9, "mail|contact|write"),
     Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++(?:[.][0-9]++){3}", "[0-9][.][0-9]", _octets, 0.6, "ip|address|host|server"),
-    Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,}+", "[0-9]{2}", lambda m: _digit_count(16, 19)(m) & luhn(_digits(m)), 0.8, "card|visa|credit|payment"),
+    Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,}+", r"[0-9][\x20-]?[0-9]", lambda m: _digit_count(16, 19)(m) & luhn(_digits(m)), 0.8, "card|visa|credit|payment"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "[+][0-9]", _digit_count(8, 15), 0.6, "phone|call|tel|mobile|fax"),
     Kind("iban", r"[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9])++", "[A-Z]{2}[0-9]{2}", _iban, 0.8, "iban|account|bank", False),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]-[0-9]", lambda m: ~m.rlike("^(000|666|9)|-00-|-0000$"), 0.3, "ssn|social|security", False),

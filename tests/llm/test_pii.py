@@ -79,3 +79,11 @@ def test_no_python_in_the_plan(docs, capsys):
 def test_checksums(spark):
     row = spark.range(1).select(*[pii.luhn(F.lit(x)).alias(f"l{x}") for x in ("4111111111111111", "4111111111111112", "0")], *[pii.mod97(F.lit(x)).alias(x) for x in ("DE89370400440532013000", "DE89370400440532013001")]).first()
     assert tuple(row) == (True, False, True, True, False)
+
+
+def test_card_of_single_separated_digits(spark):
+    """No two digits side by side anywhere in the text."""
+    rows = [(f"card {sep.join('4' + '1' * 15)} end",) for sep in " -"]
+    out = pii.redact(pii.find(spark.createDataFrame(rows, "text string"))).collect()
+    assert [[(s["kind"], s["start"], s["end"]) for s in r["pii_spans"]] for r in out] == [[("card", 5, 36)]] * 2
+    assert [r["text"] for r in out] == ["card <CARD> end"] * 2
