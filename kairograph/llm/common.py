@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -25,10 +26,13 @@ def c(name: str) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local runs, tests) a temporary folder is set.
+    Only where a local session names none (tests) a temporary folder is set; on a
+    cluster that is an error, as executors could not read one another's files.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="kairograph-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -57,6 +61,15 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Rows of a narrow table up to which it is broadcast.
+SMALL_ROWS = 500_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df``, a narrow written table, to be broadcast if it has no more than ``rows`` rows; else Spark joins by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def append_from_text(
     df: DataFrame,
     text: str,

@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from .common import remove, written
 
 
+class Forest:
+    """Sets of joined values, for the links of one task."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (p := self.parent.setdefault(x, x)) != x:
+            self.parent[x] = x = self.parent[p]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether the two were apart."""
+        p, q = self.root(x), self.root(y)
+        self.parent[p] = q
+        return p != q
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``node, root`` for every node that ``links`` touch; root is the smallest node reachable.
 
@@ -15,7 +33,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     (large star), then does the same for the smaller ones (small star).  Rounds
     end when the links are stars, after about log(n) rounds.  Each round is a
     table in the shared folder, so lost executors cost one round at most, and
-    the driver sees only counts.  Self-links and nulls join nothing.  Empty
+    the driver sees only counts.  The rows of a star meet at its centre in joins
+    only, whose large partitions Spark's skew join splits, and in combined
+    aggregates.  Self-links and nulls join nothing.  Empty
     links give an empty result.
     """
     x, y = F.col(a), F.col(b)

@@ -1,14 +1,20 @@
-"""Near copies: groups of documents linked by Jaccard similarities of 0.8 or more of their sets of 5-word shingles.
-
-Exact, without sketches that miss links.  Documents with equal sets are one
-node.  Two sets this similar share one of their first ``n - ceil(0.8 n) + 1``
-shingles in any order that is common to all sets (prefix filter); shingles
-that a sample finds common come last, which only saves work.  Candidates are
-dropped by sizes and by parity bitmaps, whose differing bits are at most the
-differing shingles, and the rest are compared shingle by shingle.  Neighbours
-in each list of sets that share a prefix shingle are compared first, and of
-other pairs only those that these links leave apart, so that a large group of
-near copies doesn't give all its pairs.
+"""Near copies by SimHash and BK-trees: groups linked by Jaccard similarities of 0.8 or more of sets of 5-word shingles.
+
+The SimHash operator with the parameters of near copies.  Documents with equal
+sets are one node.  A node goes to ``TABLES`` shards, each named by ``HASHES``
+min-hashes of its set, so two sets of similarity J share one with probability
+1 - (1 - J^4)^20: 0.99997 at 0.8, more above.  In a shard a BK-tree over the
+64-bit SimHashes of the sets gives the candidates within ``RADIUS`` bits (at 0.8
+two differ in 10 on average, in over 24 less than once in 10,000), and these
+are compared shingle by shingle, so every link is right.
+
+A shard gives a spanning forest of its links, never all pairs.  Two rounds: the
+first takes a few tables and compares parts of ``PART`` nodes, which joins
+nearly all of a large group; the second takes all tables and compares, in the
+shards that still hold several components, the nodes outside of a shard's
+largest component with all its nodes.  Parts bound every task, whatever the
+size of a shard.  Work is quadratic only in nodes that share a shard without
+being linked.
 """
 
 from __future__ import annotations
@@ -20,16 +26,23 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
+from pyspark.sql.types import ArrayType, LongType, StructField
 
-from .common import append_from_text, c, unused, written
-from .components import connected_components
+from .common import append_from_text, broadcast_if_small, c, remove, written
+from .components import Forest, connected_components
+from .simhash import BKTree, bit_counts, majority, signed, stand_for
 
-WIDTH, SEED = 5, 42
-#: Bits of a parity bitmap.
-BITS = 2048
-#: One in so many texts is looked at for common shingles: those of at least so many of them, at most so many.
-SAMPLE, COMMON, MOST_COMMON = 50, 3, 100_000
+WIDTH, SEED, RADIUS = 5, 42, 24
+#: Shards of a node, min-hashes that name one, and tables of the first round.
+TABLES, HASHES, EARLY = 20, 4, 4
+#: Nodes of a part of a shard.
+PART = 128
+#: Shingles that are looked at together.
+BLOCK = 4096
+
+#: Odd multipliers, one for each min-hash: the multiples of one odd number.
+_MULTIPLIERS = np.arange(1, 2 * TABLES * HASHES, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_LONGS = ArrayType(LongType())
 
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -42,131 +55,134 @@ def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether two sets have a Jaccard similarity of 0.8 or more, in whole numbers."""
-    return 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y))
+    n = len(x) + len(y)
+    return 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * n
 
 
-def bitmap(x: np.ndarray) -> bytes:
-    """A bit for each value modulo BITS that an odd number of shingles have."""
-    return np.packbits(np.bincount((x % np.uint64(BITS)).astype(np.int64), minlength=BITS) % 2 == 1).tobytes()
+def simhash_of(x: np.ndarray) -> int:
+    """SimHash of a set of shingles, as a signed long."""
+    counts = sum((bit_counts(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)), np.zeros(64, np.int64))
+    return signed(majority(counts, len(x)))
 
 
-def prefix(x: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The shingles of which any set this similar has one in its own prefix."""
-    last = np.isin(x, common)
-    return np.concatenate((x[~last], x[last]))[: len(x) - (4 * len(x) + 4) // 5 + 1]
+def shard_keys(x: np.ndarray) -> list[int]:
+    """A key for each table, of the set's min-hashes; the empty set has none."""
+    if not len(x):
+        return []
+    least = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max)
+    for i in range(0, len(x), BLOCK):
+        # The product's high half depends on all bits of a hash, so it is what is compared first.
+        np.minimum(least, (x[None, i : i + BLOCK] * _MULTIPLIERS[:, None]).min(axis=1), out=least)
+    return [signed(xxhash.xxh64_intdigest(least[k * HASHES : (k + 1) * HASHES].tobytes(), k)) for k in range(TABLES)]
 
 
-def _common(texts: DataFrame) -> np.ndarray:
-    some = texts.where(F.pmod("text_key", F.lit(SAMPLE)) == 0).dropDuplicates(["text_key"])
-    found = append_from_text(some, "__t", [], [StructField("s", ArrayType(LongType()))], lambda: lambda batch: [[shingles(t).view(np.int64) for t in batch]])
-    counts = found.select(F.explode("s").alias("s")).groupBy("s").count().where(F.col("count") >= COMMON)
-    return np.array([r[0] for r in counts.orderBy(F.desc("count"), "s").limit(MOST_COMMON).collect()], np.int64).view(np.uint64)
+def node_of(x: np.ndarray) -> int:
+    return signed(xxhash.xxh64_intdigest(x.tobytes(), SEED))
 
 
-def _prints(texts: DataFrame) -> DataFrame:
-    """``__id``, ``text_key``, and of its set: ``node`` (XXH64 of the set), ``n``, ``bits``, ``prefix``."""
-    common = np.sort(_common(texts))
+def _prints(rows: DataFrame) -> DataFrame:
+    """``__id, text_key`` and of the row's set: ``node``, ``keys``."""
 
     def kernel():
         def run(batch):
             sets = [shingles(t) for t in batch]
-            nodes = [np.uint64(xxhash.xxh64_intdigest(x.tobytes(), SEED)).astype(np.int64).item() for x in sets]
-            return [nodes, [len(x) for x in sets], [bitmap(x) for x in sets], [prefix(x, common).view(np.int64) if len(x) else [] for x in sets]]
+            return [[node_of(x) for x in sets], [shard_keys(x) for x in sets]]
 
         return run
 
-    fields = [StructField("node", LongType()), StructField("n", LongType()), StructField("bits", BinaryType()), StructField("prefix", ArrayType(LongType()))]
-    return append_from_text(texts, "__t", ["__id", "text_key"], fields, kernel)
-
-
-def _groups(reps: DataFrame) -> DataFrame:
-    """``members``: distinct lists of the nodes, by size, that share a prefix shingle."""
-    keyed = reps.select(F.explode("prefix").alias("s"), "n", "node").repartition("s").sortWithinPartitions("s", "n", "node")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def lists(s, node):
-            at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1], [True])))
-            many = np.flatnonzero(np.diff(at) > 1)
-            found = {tuple(node[at[k] : at[k + 1]].tolist()) for k in many}
-            return pa.RecordBatch.from_arrays([pa.array([list(x) for x in found], pa.list_(pa.int64()))], names=["members"])
-
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            s, node = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            if held and held[-1][0][-1] == s[-1]:  # the last shingle so far goes on
-                held.append((s, node))
-                continue
-            # All but the last shingle are whole.
-            cut = int(np.searchsorted(s, s[-1]))
-            held.append((s[:cut], node[:cut]))
-            yield lists(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            held = [(s[cut:], node[cut:])]
-        if held:
-            yield lists(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
-    return keyed.mapInArrow(run, "members array<long>").distinct()
-
-
-def _pairs_of(found: Iterator[tuple[int, int]]) -> pa.RecordBatch:
-    found = {(min(x), max(x)) for x in found}
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-
-def _neighbours(groups: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            yield _pairs_of((x, y) for m in batch.column(0).to_pylist() for x, y in zip(m[:-1], m[1:], strict=True))
+    return append_from_text(rows, "__t", ["__id", "text_key"], [StructField("node", LongType()), StructField("keys", _LONGS)], kernel)
 
-    return groups.mapInArrow(run, "a long, b long").distinct()
 
+def _sets(rows: DataFrame, prints: DataFrame, shards: DataFrame) -> DataFrame:
+    """``node, fp, s``: SimHash and shingles of the nodes that meet others, each from one of its rows."""
+    alone = prints.select("node", "text_key", F.col("__id").cast("string").alias("i")).join(shards.select("node").distinct(), "node", "left_semi")
+    first = alone.groupBy("node").agg(F.min(F.struct("text_key", "i")).alias("r")).select(F.col("r.text_key").alias("text_key"), F.coalesce("r.i", F.lit("")).alias("i"))
+    first, path = written(first.distinct(), "first")
+    rows = rows.withColumn("i", F.coalesce(F.col("__id").cast("string"), F.lit("")))
+    asked = rows.join(broadcast_if_small(first), ["text_key", "i"], "left_semi")
 
-def _across(groups: DataFrame, sizes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of a list that have no common root and whose sizes allow the similarity."""
-    rows = groups.where(F.size("members") > 2).select(F.xxhash64("members").alias("g"), F.explode("members").alias("node"))
-    rows = rows.join(sizes, "node").join(roots, "node", "left").select("g", F.struct("n", "node", F.coalesce("root", "node").alias("root")).alias("m"))
-    lists = rows.groupBy("g").agg(F.collect_list("m").alias("m")).where("size(array_distinct(transform(m, x -> x.root))) > 1").select(F.array_sort("m").alias("m"))
-
-    def pairs(members):
-        n, node, root = (np.array([x[k] for x in members]) for k in ("n", "node", "root"))
-        ends = np.searchsorted(n, 5 * n // 4, side="right")
-        for i in range(len(n)):
-            for j in (np.flatnonzero(root[i + 1 : ends[i]] != root[i]) + i + 1).tolist():
-                yield int(node[i]), int(node[j])
+    def kernel():
+        def run(batch):
+            sets = [shingles(t) for t in batch]
+            return [[node_of(x) for x in sets], [simhash_of(x) for x in sets], [x.view(np.int64) for x in sets]]
 
-    def run(batches):
-        for batch in batches:
-            for members in batch.column(0):
-                yield _pairs_of(pairs(members.as_py()))
+        return run
 
-    return lists.mapInArrow(run, "a long, b long").distinct()
+    found = append_from_text(asked, "__t", [], [StructField("node", LongType()), StructField("fp", LongType()), StructField("s", _LONGS)], kernel)
+    out, _ = written(found.dropDuplicates(["node"]), "sets")
+    remove(rows.sparkSession, path)
+    return out
+
+
+def _dealt(members: DataFrame, first: bool) -> DataFrame:
+    """``g, node, root, member, query``: groups of at most two parts; a group's queries are compared with its members."""
+    number = lambda parts: F.pmod(F.xxhash64("node", "key"), parts).cast("int")
+    if first:
+        sizes = members.groupBy("key").agg(F.ceil(F.count("*") / PART).alias("parts"))
+        rows = members.join(sizes, "key").withColumn("i", number(F.col("parts")))
+        yes = F.lit(True)
+        return rows.select(F.xxhash64("key", "i").alias("g"), "node", "root", yes.alias("member"), yes.alias("query"))
+    roots = members.groupBy("key", "root").agg(F.count("*").alias("n"))
+    sizes = roots.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.max("n").alias("n"), F.sum("n").alias("all")).where("n < all")
+    rows = members.join(sizes, "key").withColumns({"out": F.col("root") != F.col("most"), "pi": F.ceil((F.col("all") - F.col("n")) / PART), "pj": F.ceil(F.col("all") / PART)})
+    rows = rows.withColumns({"i": number(F.col("pi")), "j": number(F.col("pj"))})
+    yes, no = F.lit(True), F.lit(False)
+    # As a member in every part of queries, and, from outside, as a query in every part of members.
+    one = lambda i, j, member, query: F.struct(F.xxhash64("key", i, j).alias("g"), member.alias("member"), query.alias("query"))
+    as_member = F.transform(F.sequence(F.lit(0), (F.col("pi") - 1).cast("int")), lambda i: one(i, F.col("j"), yes, F.col("out") & (i == F.col("i"))))
+    elsewhere = F.filter(F.sequence(F.lit(0), (F.col("pj") - 1).cast("int")), lambda j: F.col("out") & (j != F.col("j")))
+    as_query = F.transform(elsewhere, lambda j: one(F.col("i"), j, no, yes))
+    return rows.select("node", "root", F.explode(F.concat(as_member, as_query)).alias("x")).select("x.g", "node", "root", "x.member", "x.query")
+
+
+def _links_of(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links between a group's queries and members of other roots."""
+    tree, at, forest = BKTree(), {}, Forest()
+    for row in rows:
+        if row[3]:
+            tree.add(row[2])
+            at.setdefault(row[2], []).append(row)
+    for node, root, fp, _, query, s in rows:
+        if not query:
+            continue
+        near = sorted(tree.within(fp, RADIUS), key=lambda v: (v ^ fp).bit_count())
+        for other, its, _, _, _, t in (x for v in near for x in at[v]):
+            if forest.root(root) != forest.root(its) and similar(s, t):
+                forest.join(root, its)
+                yield node, other
+
+
+def _compared(groups: DataFrame) -> DataFrame:
+    """``a, b`` of groups that come together, sorted by ``g``; one group is held at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last, mask = None, (1 << 64) - 1
 
-def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs of nodes that are similar."""
-    side = lambda k: reps.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"), F.col("text_key").alias(f"key_{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
+        def made(links):
+            links = list(links)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column(0).to_numpy() + batch.column(1).to_numpy()
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (2, 3))
-            stay = 9 * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= n
-            yield batch.filter(pa.array(stay)).select([4, 5, 6, 7])
+            links: list[tuple[int, int]] = []
+            g, node, root, fp, member, query = (batch.column(k).to_pylist() for k in range(6))
+            ends, values = batch.column(6).offsets.to_numpy(), batch.column(6).values.to_numpy().view(np.uint64)
+            for k in range(batch.num_rows):
+                if g[k] != last:
+                    links += _links_of(held)
+                    held, last = [], g[k]
+                held.append((node[k], root[k], fp[k] & mask, member[k], query[k], values[ends[k] : ends[k + 1]]))
+            yield made(links)
+        yield made(_links_of(held))
 
-    both = both.select("n_a", "n_b", "bits_a", "bits_b", "a", "b", "key_a", "key_b").mapInArrow(near, "a long, b long, key_a long, key_b long")
-    both, _ = written(both, "pairs")
-    asked = both.select(F.col("key_a").alias("text_key")).union(both.select("key_b")).distinct()
-    found = texts.select("text_key", F.col("__t").cast("binary").alias("t")).join(asked, "text_key", "left_semi").dropDuplicates(["text_key"])
-    both = both.join(found.toDF("key_a", "t_a"), "key_a").join(found.toDF("key_b", "t_b"), "key_b").select("a", "b", "t_a", "t_b")
+    return groups.mapInArrow(run, "a long, b long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            stay = [similar(shingles(x.as_py()), shingles(y.as_py())) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.filter(pa.array(stay, pa.bool_())).select([0, 1])
 
-    return written(both.mapInArrow(run, "a long, b long"), "links")[0]
+def _round(shards: DataFrame, sets: DataFrame, roots: DataFrame | None) -> DataFrame:
+    members = shards.where(F.col("t") < EARLY).withColumn("root", F.col("node")) if roots is None else shards.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = _dealt(members.select("key", "node", "root"), roots is None).join(sets, "node")
+    rows = rows.select("g", "node", "root", "fp", "member", "query", "s").repartition("g").sortWithinPartitions("g")
+    return _compared(rows).distinct()
 
 
 def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,33 +191,29 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     ``component_id`` is the smallest id that links reach, the document's own
     included; ``component_key`` is the smallest node of the component.  Null,
     empty and blank texts have the empty set and are one group.  Null ids count
-    as larger than any id.
+    as larger than any id.  Repeated rows each keep a row.  An empty table gives
+    an empty result.
     """
-    texts = df.select(c(doc_id).alias("__id"), c(text).alias("__t"), F.xxhash64(c(text)).alias("text_key"))
-    prints, _ = written(_prints(texts), "shingles")
-    many = prints.groupBy("node").count().where("count > 1").select("node")
-    reps = prints.join(many, "node", "left_anti").unionByName(prints.join(many, "node", "left_semi").dropDuplicates(["node"]))
-    reps, _ = written(reps, "sets")
-    groups, _ = written(_groups(reps), "groups")
-    links = _verified(_neighbours(groups), reps, texts)
+    spark = df.sparkSession
+    rows = df.select(c(doc_id).alias("__id"), c(text).alias("__t"), F.xxhash64(c(text)).alias("text_key"))
+    prints, _ = written(_prints(rows), "prints")
+    keyed = prints.select(F.posexplode("keys").alias("t", "key"), "node")
+    many = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    shards, path = written(keyed.join(many, "key", "left_semi").distinct(), "shards")
+    sets = _sets(rows, prints, shards)
+    roots = connected_components(written(_round(shards, sets, None), "links")[0])
+    links = roots.where("node != root").toDF("a", "b").union(written(_round(shards, sets, roots), "links")[0])
     roots = connected_components(links)
-    links = links.union(_verified(_across(groups, reps.select("node", "n"), roots), reps, texts))
+    remove(spark, path)
+    for at in sets.inputFiles()[:1]:
+        remove(spark, at.rpartition("/")[0])
     classes = prints.groupBy("node").agg(F.min("__id").alias("first_id"))
-    classes = classes.join(connected_components(links), "node", "left").withColumn("component_key", F.coalesce("root", "node"))
+    classes = classes.join(roots, "node", "left").withColumn("component_key", F.coalesce("root", "node"))
     least = classes.groupBy("component_key").agg(F.min("first_id").alias("component_id"))
     classes = classes.join(least, "component_key").select("node", "component_key", "component_id")
     return prints.join(classes, "node").select(F.col("__id").alias(doc_id), "text_key", "component_id", "component_key")
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, that stand for their group: the smallest id, once.
-
-    Where a group has null ids only, one of its rows stays.
-    """
-    found = near_copies(df, doc_id, text).where(F.col(doc_id).eqNullSafe(F.col("component_id")))
-    named = lambda x: F.coalesce(x.cast("string"), F.lit("null"))
-    stay = found.groupBy("component_key").agg(F.min(F.struct(F.col(doc_id), "text_key")).alias("k"))
-    row, key = unused(df.columns, "__row"), unused(df.columns, "__key")
-    stay = stay.select(named(F.col("k")[doc_id]).alias(row), F.col("k.text_key").alias(key))
-    rows = df.withColumns({row: named(c(doc_id)), key: F.xxhash64(c(text))})
-    return rows.join(stay, [row, key], "left_semi").dropDuplicates([row, key]).drop(row, key)
+    """The rows of ``df``, all columns, that stand for their group, as ``simhash.stand_for`` picks them."""
+    return stand_for(df, near_copies(df, doc_id, text), doc_id, text)

@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from .common import append_from_text, c, unused, written
-from .components import connected_components
+from .common import append_from_text, broadcast_if_small, c, unused, written
+from .components import Forest, connected_components
 
 SEED, WIDTH, RADIUS = 42, 3, 2
 #: Most fingerprints of one BK-tree.
@@ -49,11 +49,21 @@ def fingerprint(text: bytes | None, width: int = WIDTH, seed: int = SEED) -> int
     digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, n, BLOCK):
         h = np.array([digest(joined[i:j], seed) for i, j in zip(first[at : at + BLOCK], last[at : at + BLOCK], strict=True)], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        counts += bit_counts(h)
+    return majority(counts, n)
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits, from the lowest."""
+    return np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The unsigned integer of the bits that over half of ``n`` hashes have."""
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
@@ -61,7 +71,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", keep: list[str] | None =
     """``keep`` columns (all by default) and ``simhash``, the fingerprint as a signed long."""
 
     def kernel():
-        return lambda texts: [[_signed(fingerprint(t, width)) for t in texts]]
+        return lambda texts: [[signed(fingerprint(t, width)) for t in texts]]
 
     return append_from_text(df, text, df.columns if keep is None else keep, [StructField("simhash", LongType())], kernel)
 
@@ -98,22 +108,14 @@ class BKTree:
 
 def _forest(tree_of: list[int], queries: list[int], radius: int) -> list[tuple[int, int]]:
     """Links that join fingerprints not yet joined here; without queries, of the tree's own."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[p]
-        return x
-
-    tree, out, mask = BKTree(), [], (1 << 64) - 1
+    tree, out, forest, mask = BKTree(), [], Forest(), (1 << 64) - 1
     if queries:
         for value in tree_of:
             tree.add(value & mask)
     for value in queries or tree_of:
         for other in tree.within(value & mask, radius):
-            if (p := root(value)) != (q := root(_signed(other))):
-                parent[p] = q
-                out.append((value, _signed(other)))
+            if forest.join(value, signed(other)):
+                out.append((value, signed(other)))
         if not queries:
             tree.add(value & mask)
     return out
@@ -169,18 +171,36 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     return slim.join(classes, "simhash").select(F.col("__id").alias(doc_id), "text_key", "simhash", "component_id", "component_key")
 
 
-def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``df``, all columns, that stand for their component: the smallest id, once.
+def stand_for(df: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, that stand for their component in ``found``: the smallest id, once.
 
-    Where a component has null ids only, one of its rows stays.
+    Where a component has null ids only, one of its rows stays.  Decisions are
+    made in a narrow table of ids and text keys.  Rows that go are left out by a
+    broadcast anti-join while their list is small (checked), so that no text is
+    shuffled; only rows that repeat with the same id and text meet, and of those
+    each task sends one.  A longer list is joined by a shuffle.
     """
-    found = near_duplicates(df, doc_id, text, radius).where(F.col(doc_id).eqNullSafe(F.col("component_id")))
-    named = lambda x: F.coalesce(x.cast("string"), F.lit("null"))
-    stay = found.groupBy("component_key").agg(F.min(F.struct(F.col(doc_id), "text_key")).alias("k"))
+    name = lambda x: F.coalesce(x.cast("string"), F.lit("null"))
+    found = found.select(F.col(doc_id).alias("i"), "text_key", "component_key")
+    found, _ = written(found.groupBy("i", "text_key", "component_key").agg(F.count("*").alias("n")), "decided")
+    # A null id comes after all others.
+    stay = found.groupBy("component_key").agg(F.min(F.struct(F.col("i").isNull().alias("z"), "i", "text_key")).alias("k"))
+    both = found.join(stay, "component_key")
+    same = F.col("i").eqNullSafe(F.col("k.i")) & (F.col("text_key") == F.col("k.text_key"))
     row, key = unused(df.columns, "__row"), unused(df.columns, "__key")
-    stay = stay.select(named(F.col("k")[doc_id]).alias(row), F.col("k.text_key").alias(key))
-    rows = df.withColumns({row: named(c(doc_id)), key: F.xxhash64(c(text))})
-    return rows.join(stay, [row, key], "left_semi").dropDuplicates([row, key]).drop(row, key)
+    listed = lambda x: x.select(name(F.col("i")).alias(row), F.col("text_key").alias(key))
+    gone, _ = written(listed(both.where(~same)), "gone")
+    again, _ = written(listed(both.where(same & (F.col("n") > 1))), "again")
+    rows = df.withColumns({row: name(c(doc_id)), key: F.xxhash64(c(text))}).join(broadcast_if_small(gone), [row, key], "left_anti")
+    if not again.isEmpty():
+        again = broadcast_if_small(again)
+        rows = rows.join(again, [row, key], "left_anti").unionByName(rows.join(again, [row, key], "left_semi").dropDuplicates([row, key]))
+    return rows.drop(row, key)
+
+
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of ``df`` that stand for their component, as ``stand_for`` picks them."""
+    return stand_for(df, near_duplicates(df, doc_id, text, radius), doc_id, text)
 
 
 def hex16(fp: Column) -> Column:

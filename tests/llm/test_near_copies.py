@@ -51,3 +51,28 @@ def test_a_large_group_and_sets_on_the_threshold(spark):
     w = [f"w{i}" for i in range(14)]
     rows += [(100, " ".join(w)), (101, " ".join(w[:12])), (200, " ".join(f"v{i}" for i in range(13))), (201, " ".join(f"v{i}" for i in range(11)))]
     assert kept(spark.createDataFrame(rows, "doc_id long, text string")) == slow_kept(rows) == [0, 100, 200, 201]
+
+
+def test_a_shard_of_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(N, "PART", 4)
+    base = prose(300, 3).split()
+    rows = [(i, " ".join([*base[: 4 * i], f"x{i}", *base[4 * i + 1 :]])) for i in range(60)]
+    # Of one template, but too far from the others and from one another.
+    rows += [(100 + i, " ".join(w if k % 12 else f"y{i}" for k, w in enumerate(base))) for i in range(9)]
+    assert kept(spark.createDataFrame(rows, "doc_id long, text string")) == slow_kept(rows)
+
+
+def test_a_long_list_is_joined_by_a_shuffle(spark, monkeypatch):
+    from kairograph.llm import simhash
+
+    df = spark.createDataFrame(texts(), "doc_id long, text string, lang string, source string, n_chars long")
+    expected = kept(df)
+    for module in (N, simhash):
+        monkeypatch.setattr(module, "broadcast_if_small", lambda x: x)
+    assert kept(df) == expected
+
+
+def test_no_text_is_shuffled_by_the_choice(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = N.one_of_each(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
