@@ -87,3 +87,32 @@ def test_matrices_combine_in_any_order(model):
     states = [[("", 0)], *(model.states(text, at) for at in cuts[1:-1])]
     a, b, c, d = (P.Chunk(model, text, cuts[i], cuts[i + 1], states[i]).matrix for i in range(4))
     assert P.combine(P.combine(P.combine(a, b), c), d) == P.combine(a, P.combine(b, P.combine(c, d))) == P.combine(P.combine(a, b), P.combine(c, d))
+
+
+def test_words_are_cached_only_where_no_merge_crosses_them(model):
+    rng = random.Random(11)
+    assert model.encode_all(["a▁ ▁b"]) == [model.library.encode("a▁ ▁b")]
+    xs = ["".join(rng.choice(["a", "b", "the", " ", " ", "▁", "▁▁", "é", "\n"]) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    assert model.encode_all(xs) == [model.library.encode(x) for x in xs]
+
+
+def test_giant_texts_are_scanned_as_rows(spark, model):
+    rng = random.Random(5)
+    xs = ["".join(rng.choice([*ODD, prose(60, 5), "▁▁ ▁", "ththth" * 9]) for _ in range(rng.randint(1, 12))) for _ in range(30)]
+    rows = [(i, x, "x") for i, x in enumerate([*xs, xs[0], prose(3000, 2), None, ""])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rid string").withColumnsRenamed({"rid": "parts"}).selectExpr("*", "'y' AS rid", "'z' AS k", "'z' AS t")
+    found = P.encode_decode(df, giant=100, chunk=37)
+    assert found.columns == ["doc_id", "text", "parts", "rid", "k", "t", "n_pieces", "ids", "decoded", "round_trip"]
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert len(got) == len(rows)
+    for i, x, _ in rows:
+        assert got[i]["ids"] == model.library.encode(x or "") and got[i]["decoded"] == model.library.decode(got[i]["ids"])
+        assert got[i]["round_trip"] == ("▁" not in (x or "")) and got[i]["text"] == x
+
+
+def test_many_chunks_combine_level_by_level(spark, model):
+    text = prose(900, 4)
+    df = spark.createDataFrame([("a", text), ("b", "x" * 50)], "rid string, t string")
+    shared = spark.sparkContext.broadcast(P.model_proto())
+    got = {r["rid"]: P.join_parts([list(x) for x in r["parts"]], model.unknown) for r in P.encode_giants(df, shared, chunk=29, fan=4).collect()}
+    assert got == {"a": model.library.encode(text), "b": model.library.encode("x" * 50)}
