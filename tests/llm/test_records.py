@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import zlib
 from collections import defaultdict
 
@@ -30,11 +31,43 @@ def test_sizes_slots_and_checksums(docs, none, clashing):
 @pytest.mark.parametrize("n", [1, 4, 11, 12, 23, 24])
 def test_one_more_shard_takes_rows_only_into_itself(spark, n):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
-    grown = {r["doc_id"]: r for r in rows_of(df, n=n)}
-    after = {r["doc_id"]: r["shard"] for r in rows_of(df, n=n + 1)}
-    assert all(r["grown_shard"] == after[i] and after[i] in (r["shard"], n) for i, r in grown.items())
-    moved = sum(after[i] != r["shard"] for i, r in grown.items())
-    assert abs(moved - 4000 / (n + 1)) < 5 * (4000 / (n + 1)) ** 0.5 + 5
+    for more in (0, 1):
+        grown = {r["doc_id"]: r for r in rows_of(df, n=n + more, planned=n)}
+        after = {r["doc_id"]: r["shard"] for r in rows_of(df, n=n + more + 1, planned=n)}
+        assert all(r["grown_shard"] == after[i] and after[i] in (r["shard"], n + more) for i, r in grown.items())
+        moved = sum(after[i] != r["shard"] for i, r in grown.items())
+        assert abs(moved - 4000 / (n + more + 1)) < 5 * (4000 / (n + more + 1)) ** 0.5 + 5
+
+
+def test_the_shard_count_alone_decides_beyond_the_plan(spark):
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    grown = {r["doc_id"]: r["grown_shard"] for r in rows_of(df)}
+    assert grown == {r["doc_id"]: r["shard"] for r in rows_of(df, n=H.SHARDS + 1, planned=H.SHARDS)}
+
+
+def slow_shard(key, shards):
+    """Descent by draws at each level."""
+
+    def least(children):
+        u = lambda name: (int(hashlib.md5(f"{key}:{name}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        return min((-math.log(u(name)) / w, name) for name, w in children.items())[1]
+
+    def weights(of, name):
+        out = defaultdict(float)
+        for s in of:
+            out[name(s)] += s.weight
+        return out
+
+    region = least(weights(shards, lambda s: f"region{s.region}"))
+    shards = [s for s in shards if f"region{s.region}" == region]
+    rack = least(weights(shards, lambda s: f"rack{s.rack}"))
+    return int(least(weights([s for s in shards if f"rack{s.rack}" == rack], lambda s: str(s.number))))
+
+
+def test_draws_at_each_level(spark):
+    df = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    weights = [1.0 + i % 5 for i in range(24)]
+    assert all(r["shard"] == slow_shard(r["doc_id"], H.tree(24, weights)) for r in rows_of(df, weights=weights))
 
 
 def test_weights_and_movement(spark):
@@ -43,12 +76,26 @@ def test_weights_and_movement(spark):
     a = {r["doc_id"]: r["shard"] for r in rows_of(df, weights=weights)}
     weights[5] = 3.0
     b = {r["doc_id"]: r["shard"] for r in rows_of(df, weights=weights)}
-    assert all(b[i] in (a[i], 5) for i in a)
+    # Only into subtrees whose weights grow: region 0, in it rack 1, in it shard 5.
+    place = {s.number: (s.region, s.rack, s.number) for s in H.tree(24)}
+    for i, s in a.items():
+        level = next((k for k in range(3) if place[s][k] != place[b[i]][k]), None)
+        assert level is None or place[b[i]][level] == place[5][level]
     assert abs(sum(v == 5 for v in b.values()) - 6000 * 3 / 26) < 150
     with pytest.raises(ValueError):
         H.tree(3, [1.0, 0.0, 1.0])
 
 
+def test_rows_that_repeat_often(spark, monkeypatch):
+    monkeypatch.setattr(H, "PART_ROWS", 10)
+    df = spark.range(300).select(F.when(F.col("id") < 100, F.lit(7)).when(F.col("id") < 150, F.lit(None)).otherwise(F.col("id")).cast("long").alias("doc_id"), (F.col("id") % 3).cast("string").alias("text"))
+    rows, by = rows_of(df), defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r["slot"])
+    assert len(rows) == 300 and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert sum(r["doc_id"] == 7 for r in rows) == 100
+
+
 PAGES = [
     (1, "http://a/x", '<html lang="EN-us"><head><title>A &amp;  B</title><style>p{}</style></head><body><p>One <b>two</b></p><script>if (a<b) x()</script><a href="/y?a=1&amp;b=2">three</a><!-- no --></body></html>'),
     (2, None, None),
