@@ -7,6 +7,8 @@ matches, so lengths of pieces and matches add up to code point offsets.
 
 The patterns are possessive and anchored at run starts, so that each is linear
 in the text and needs no recursion, however long a run of digits or letters is.
+Running sums over matches are made in blocks of the root of their number, so
+that a text of very many spans costs no square.
 """
 
 from __future__ import annotations
@@ -63,6 +65,35 @@ def _iban(m: Column) -> Column:
     return F.length(plain).between(15, 34) & mod97(plain)
 
 
+def _mixed(m: Column) -> Column:
+    return m.rlike("[0-9]") & m.rlike("[A-Za-z]")
+
+
+#: Lengths of account numbers (IBAN) and the countries that have them.
+IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+#: A number ends with its country's length, whatever word follows.
+_IBAN = r"\b(?:" + "|".join(f"(?:{'|'.join(names.split())})[0-9]{{2}}(?:[\\x20]?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_LENGTHS.items()) + r")\b"
+
+
 @dataclass(frozen=True)
 class Kind:
     """``hint``: a cheap condition without which a text has no match."""
@@ -82,30 +113,55 @@ KINDS = (
     Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++(?:[.][0-9]++){3}", "[0-9][.][0-9]", _octets, 0.6, "ip|address|host|server"),
     Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,}+", r"[0-9][\x20-]?[0-9]", lambda m: _digit_count(16, 19)(m) & luhn(_digits(m)), 0.8, "card|visa|credit|payment"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "[+][0-9]", _digit_count(8, 15), 0.6, "phone|call|tel|mobile|fax"),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9])++", "[A-Z]{2}[0-9]{2}", _iban, 0.8, "iban|account|bank", False),
+    Kind("iban", _IBAN, "[A-Z]{2}[0-9]{2}", _iban, 0.8, "iban|account|bank", False),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]-[0-9]", lambda m: ~m.rlike("^(000|666|9)|-00-|-0000$"), 0.3, "ssn|social|security", False),
+    Kind("secret", r"[A-Za-z0-9_-]{24,}+", "[A-Za-z0-9_-]{24}", _mixed, 0.2, "token|secret|password|passwd|credential|bearer|api.?key", False),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(values: Column, step) -> Column:
+    """Each value joined by ``step`` to all before it (sums, maxima), in blocks; an empty array stays so."""
+    none = F.expr("cast(array() as array<bigint>)")
+    last = lambda a: F.try_element_at(a, F.lit(-1))
+    each = lambda block: F.aggregate(block, none, lambda acc, v: F.array_append(acc, F.when(F.size(acc) == 0, v).otherwise(step(last(acc), v))))
+
+    def blocks(xs):
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(xs))).cast("int"))
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(xs)), size), lambda b: each(F.slice(xs, b, size)))
+
+    def joined_blocks(inner):
+        # What the blocks before each one come to.
+        carried = each(F.filter(F.transform(inner, last), lambda x: x.isNotNull()))
+        return _bound(carried, lambda before: F.flatten(F.transform(inner, lambda block, i: _bound(F.get(before, i - 1), lambda b: F.transform(block, lambda v: F.when(b.isNull(), v).otherwise(step(b, v)))))))
+
+    return _bound(_bound(values, blocks), joined_blocks)
+
+
 def _spans_of(text: Column, kind: Kind) -> Column:
     """Array of (kind, start, end, score) of one kind, by start."""
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     between = F.split(text, kind.pattern, -1)
-    start = F.lit(0).cast("long")
     empty = F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint,score:double>>)")
 
-    def step(acc, x):
-        begin = acc["at"] + F.length(x["p"])
-        end = begin + F.length(x["m"])
-        near = F.lower(F.right(x["p"], F.lit(CONTEXT))).rlike(kind.words)
+    def proposed(p, m):
+        near = F.lower(F.right(p, F.lit(CONTEXT))).rlike(kind.words)
         score = F.lit(kind.score) + F.when(near, BOOST).otherwise(0.0)
-        span = F.struct(F.lit(kind.name).alias("kind"), begin.cast("long").alias("start"), end.cast("long").alias("end"), F.least(score, F.lit(1.0)).alias("score"))
-        ok = F.coalesce(kind.valid(x["m"]), F.lit(False)) & (F.lit(kind.base) | (score >= LEAST_SCORE))
-        return F.struct(end.cast("long").alias("at"), F.when(ok, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        ok = F.coalesce(kind.valid(m), F.lit(False)) & (F.lit(kind.base) | (score >= LEAST_SCORE))
+        return F.struct((F.length(p) + F.length(m)).cast("long").alias("both"), F.length(m).cast("long").alias("own"), F.least(score, F.lit(1.0)).alias("score"), ok.alias("ok"))
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    found = F.aggregate(pairs, F.struct(start.alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+    def span(x, end):
+        placed = F.struct(F.lit(kind.name).alias("kind"), (end - x["own"]).alias("start"), end.alias("end"), x["score"].alias("score"))
+        return F.struct(x["ok"].alias("ok"), placed.alias("span"))
+
+    pairs = F.zip_with(F.slice(between, 1, F.size(matches)), matches, proposed)
+    placed = _bound(pairs, lambda xs: F.zip_with(xs, _running(F.transform(xs, lambda x: x["both"]), lambda a, b: a + b), span))
+    found = F.transform(F.filter(placed, lambda x: x["ok"]), lambda x: x["span"])
     hinted = F.contains(text, F.lit("@")) if kind.hint == "@" else F.rlike(text, F.lit(kind.hint))
     return F.when(hinted, found).otherwise(empty)
 
@@ -138,15 +194,18 @@ def find(df: DataFrame, text: str = "text", to: str = "pii_spans") -> DataFrame:
 def redacted(text: Column, found: Column) -> Column:
     """The text with each span as ``<KIND>``; overlapping spans go together, under the kind of the earliest, then longest."""
     order = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
-    def step(acc, s):
-        piece = F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        more = F.struct(F.greatest(acc["at"], -s["back"]).alias("at"), acc["out"].alias("out"))
-        return F.when(s["start"] < acc["at"], more).otherwise(F.struct((-s["back"]).alias("at"), piece.alias("out")))
+    def done(xs):
+        reached = _running(F.transform(xs, lambda x: -x["back"]), lambda a, b: F.greatest(a, b))
+        return F.when(F.size(xs) == 0, text).otherwise(_bound(F.concat(F.array(F.lit(0).cast("long")), reached), lambda before: written(xs, before)))
+
+    def written(xs, before):
+        """``before``: where the spans before each one, and before the text's end, reach."""
+        first = F.filter(F.zip_with(xs, F.slice(before, 1, F.size(xs)), lambda x, at: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), at.alias("at"))), lambda x: x["start"] >= x["at"])
+        pieces = F.transform(first, lambda x: F.concat(F.substr(text, (x["at"] + 1).cast("int"), (x["start"] - x["at"]).cast("int")), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
+        return F.concat(F.array_join(pieces, ""), F.substr(text, (F.element_at(before, -1) + 1).cast("int")))
 
-    done = F.aggregate(order, begin, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
-    return F.when(F.size(found) == 0, text).otherwise(done)
+    return _bound(order, done)
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
@@ -176,8 +235,9 @@ _SQL_KINDS = (
     (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_bool_and(list_transform(string_split(v, '.'), lambda o: length(ltrim(o, '0')) <= 3 AND coalesce(try_cast(ltrim(o, '0') AS INT), 0) <= 255))"),
     (r"[0-9](?:[\x20-]?[0-9])+", f"length({_D}) BETWEEN 16 AND 19 AND {_LUHN}"),
     (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_D}) BETWEEN 8 AND 15"),
-    (r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9])+", f"length({_PLAIN}) BETWEEN 15 AND 34 AND {_MOD97}"),
+    (_IBAN, f"length({_PLAIN}) BETWEEN 15 AND 34 AND {_MOD97}"),
     (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "NOT regexp_matches(v, '^(000|666|9)|-00-|-0000$') AND regexp_matches(lower(right(before, 40)), 'ssn|social|security')"),
+    (r"[A-Za-z0-9_-]{24,}", f"regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND regexp_matches(lower(right(before, 40)), '{KINDS[-1].words}')"),
 )
 
 

@@ -87,3 +87,38 @@ def test_card_of_single_separated_digits(spark):
     out = pii.redact(pii.find(spark.createDataFrame(rows, "text string"))).collect()
     assert [[(s["kind"], s["start"], s["end"]) for s in r["pii_spans"]] for r in out] == [[("card", 5, 36)]] * 2
     assert [r["text"] for r in out] == ["card <CARD> end"] * 2
+
+
+def test_account_numbers_end_with_their_countrys_length(spark):
+    cases = ["pay DE89 3704 0044 0532 0130 00 BIC COBADEFF", "GB82WEST12345698765432THEN", "NO9386011117947 AND MORE", "XX89370400440532013000"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    found = {r[0]: [x for x in r[1].split(",") if x.startswith("iban")] for r in df.select("doc_id", pii.joined(pii.spans(F.col("text")))).collect()}
+    assert found == {0: ["iban:4:31"], 1: [], 2: ["iban:0:15"], 3: []}
+
+
+def test_context_decides_on_secrets(spark):
+    cases = ['api token = "7f5790b897549d620aedfc0705a565f96e3741e8"', 'commit 7f5790b897549d620aedfc0705a565f96e3741e8', "password aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    assert [r[0] for r in df.orderBy("doc_id").select(F.size(F.filter(pii.spans(F.col("text")), lambda s: s["kind"] == "secret"))).collect()] == [1, 0, 0]
+
+
+def slow_redacted(text, found):
+    out, at, spans = "", 0, sorted(found, key=lambda s: (s[1], -s[2], s[0]))
+    for kind, start, end in spans:
+        if start >= at:
+            out += text[at:start] + f"<{kind.upper()}>"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_redaction_matches_a_walk_and_takes_ten_thousand_spans(spark):
+    import time
+
+    many = " ".join(f"é{i} u{i}@x.yy 10.0.{i % 300}.1 +1 555 {i:07d}@b.cc" for i in range(3500))
+    cases = [*CASES, many, "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.redact(pii.find(df).withColumn("old", F.col("text"))).collect()}
+    assert len(got[len(CASES)]["pii_spans"]) >= 10_000 and time.time() - began < 60
+    for i, t in enumerate(cases):
+        assert got[i]["text"] == (None if t is None else slow_redacted(t, [(s["kind"], s["start"], s["end"]) for s in got[i]["pii_spans"]]))
