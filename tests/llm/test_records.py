@@ -120,7 +120,7 @@ def test_derivatives(pages):
         assert r["payload_digest"] == s["payload_digest"] and r["warc_date"] == s["warc_date"] and r["record_id"] != s["record_id"]
         assert r["content_length"] == len(r["block"])
         assert r["block_digest"] == "sha1:" + base64.b32encode(hashlib.sha1(r["block"]).digest()).decode()
-        assert [h["name"] for h in r["source_headers"]] == ["Content-Type"]
+        assert [h["name"] for h in r["source_headers"]] == ["Content-Type", "Content-Length"]
         html = s["block"].split(b"\r\n\r\n", 1)[1]
         assert s["payload_digest"] == W.digest(bytes(html))
     kinds = {(r["warc_type"], r["target_uri"]): bytes(r["block"]).decode() for r in made}
@@ -145,3 +145,26 @@ def test_file_bytes(pages):
     head, _, rest = raw.partition(b"\r\n\r\n")
     assert head.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and f"Content-Length: {row['content_length']}".encode() in head
     assert rest == bytes(row["block"]) + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("bad", ["<svg>", "<a ", "<title>", "<!--", "<script", "<", "<a href='", "</", "<p", "<style>x"])
+def test_malformed_pages_take_linear_time(bad):
+    import time
+
+    began = time.time()
+    W.derivatives({"block": (bad * (1_000_000 // len(bad))).encode(), "payload_digest": None, "record_id": "r", "target_uri": "u", "warc_date": W.EPOCH})
+    assert time.time() - began < 10
+
+
+def test_headers_and_marks():
+    block = W.http_block([("Date", "x"), ("Link", "<a>"), ("Server", "s")], b"<title>T&amp;</title>a<!-- <b>x --><i>b</i><svg/>c<svg><p>no</svg>d <3 <a href=u>e")
+    meta, text = W.derivatives({"block": block, "payload_digest": None, "record_id": "r", "target_uri": "u", "warc_date": W.EPOCH})
+    assert [h["name"] for h in meta["source_headers"]] == ["Date", "Link", "Server"] and b"http-server: s" in meta["block"]
+    assert text["block"] == b"T&\na bc d <3 e" and b"outlink: u\r\n" in meta["block"] and b"title: T&\r\n" in meta["block"]
+
+
+def test_pages_of_other_columns_and_ids(spark, pages):
+    odd = pages.withColumn("block", F.lit("x")).withColumn("p", F.lit(1)).withColumn("record_id", F.lit(2))
+    assert sorted(r["record_id"] for r in W.responses(odd).collect()) == sorted(r["record_id"] for r in W.responses(pages).collect())
+    two = spark.createDataFrame([(1, "u", "a"), (1, "u", "b")], "page_id long, url string, html string")
+    assert len({r["record_id"] for r in W.responses(two).collect()}) == 2
