@@ -17,16 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField
 
-from .common import append_from_text, c, least_hashes
+from .common import append_from_text, c, least_hashes, remove, written
 from .language import fold
 
 FOLDS = 5
 #: The fit reads this many labelled rows at most, those with the smallest hashes of their ids.
 ROWS = 16_000
-#: Lexicon: words of this share of toxic documents, with log odds of this value and so many standard errors, at most so many.
-SHARE, LOG_ODDS, ERRORS, WORDS = 0.02, 2.5, 3.0, 400
+#: Lexicon: words with log odds of this value and so many standard errors.
+LOG_ODDS, ERRORS = 2.5, 3.0
 #: Trees, depth, learning rate, bins of a feature, L2 of leaf values.
 TREES, DEPTH, RATE, BINS, L2 = 60, 3, 0.2, 32, 1.0
 #: Words before and after a lexicon word in which a second-person word counts.
@@ -41,7 +41,8 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 or b
 _INNER = re.compile(rb"[A-Za-z][0-9@$!|+*#_.-]{1,3}[A-Za-z]")
 _SPACED = re.compile(rb"\b[A-Za-z](?:[ .*_-][A-Za-z]\b){3,}")
 _REPEATED = re.compile(rb"([A-Za-z])\1{2,}")
-_TOKEN = re.compile(rb"[^\s]*[0-9@$!|+*#_.-][^\s]*")
+#: A letter beside a symbol, or a dot between two letters.
+_ODD = re.compile(rb"[A-Za-z][0-9@$!|+*#_-]|[0-9@$!|+*#_-][A-Za-z]|[A-Za-z]\.[A-Za-z]")
 
 FEATURES = ("lexicon_hits", "lexicon_density", "strong_hits", "strong_density", "hidden_hits", "near_second_person", "second_person_density", "capitals", "capital_words", "exclamations", "questions", "punctuation", "obfuscated", "spaced", "repeated", "length")
 
@@ -63,8 +64,10 @@ def features(text: bytes | None, lexicon: dict[bytes, float], strong: float) ->
     upper, lower = int(hist[65:91].sum()), int(hist[97:123].sum())
     inner = _INNER.findall(text)
     hidden = 0
-    if inner:
-        for token in _TOKEN.findall(text):
+    if _ODD.search(text):
+        for token in text.split():
+            if not _ODD.search(token):
+                continue
             plain = token.lower()
             hidden += any(w in lexicon for x in (plain.translate(_LEET), re.sub(rb"[^a-z\x80-\xff]", b"", plain)) for w in words_of(x)) and not any(w in lexicon for w in words_of(plain))
     spaced = _SPACED.findall(text)
@@ -177,40 +180,71 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """The model of labelled documents whose fold (modulo 5) is not 0.
 
-    The ``ROWS`` labelled rows with the smallest hashes are read, whole; word
-    counts are summed on the cluster, and the driver gets ``WORDS`` words and a
-    feature row for each labelled row.  A fifth of these calibrates.  Without
-    labelled rows every score is that of an even chance.
+    The ``ROWS`` labelled rows with the smallest hashes of id and text are read,
+    whole, and written once.  Lexicon and trees are learned of all of them; what
+    calibrates are the margins that each fifth gets from a lexicon and trees
+    learned of the other four.  Word counts are summed on the cluster, and the
+    driver gets the words whose odds stand out, which the bounded rows bound,
+    and a feature row for each labelled row.  Rows that repeat in id and text
+    count once; an id with several texts or labels counts with each text, under
+    the largest label.  Without labelled rows every score is that of an even
+    chance.
     """
     known = labels.where(c(doc_id).isNotNull() & c(label).isin(0, 1) & (fold(c(doc_id), FOLDS) != 0)).select(c(doc_id).alias("id"), c(label).cast("int").alias("y"))
-    chosen = least_hashes(known, F.col("id"), ROWS).groupBy("id").agg(F.max("y").alias("y"), F.first("h").alias("h"))
-    rows = docs.select(c(doc_id).alias("id"), c(text).cast("binary").alias("t")).join(F.broadcast(chosen), "id").select("id", "h", "y", "t")
+    chosen = least_hashes(known, F.col("id"), ROWS).groupBy("id").agg(F.max("y").alias("y"))
+    texts = docs.select(c(doc_id).alias("id"), c(text).cast("binary").alias("t")).withColumn("k", F.xxhash64("id", "t"))
+    narrow = texts.select("id", "k").join(F.broadcast(chosen), "id").distinct()
+    narrow = least_hashes(narrow, F.col("k"), ROWS)
+    rows = texts.join(F.broadcast(narrow), ["id", "k"]).dropDuplicates(["id", "k"]).select("h", "y", "t")
+    rows, path = written(rows, "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: tuple[Counter, Counter] = (Counter(), Counter())
-            for y, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                found[y].update({b"", *words_of(t)})
-            keys = list(found[0].keys() | found[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array([k.decode("utf-8", "replace") for k in keys]), pa.array([found[0][k] for k in keys], pa.int64()), pa.array([found[1][k] for k in keys], pa.int64())], names=["word", "clean", "toxic"])
-
-    sums = rows.mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    totals = sums.where("word = ''").first()
-    clean, toxic = (totals["clean"], totals["toxic"]) if totals else (0, 0)
-    odds = F.log((F.col("toxic") + 0.5) / F.lit(toxic + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(clean + 1.0))
-    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    top = sums.where((F.col("word") != "") & (F.col("toxic") >= SHARE * toxic)).withColumn("odds", odds).where((F.col("odds") >= LOG_ODDS) & (F.col("odds") >= ERRORS * error))
-    lexicon = {r["word"].encode(): float(r["odds"]) for r in top.orderBy(F.desc(F.col("odds") * F.col("toxic")), "word").limit(WORDS).collect()}
-    strong = float(np.quantile(list(lexicon.values()), 0.7)) if lexicon else 0.0
-    fields = [StructField(f, DoubleType()) for f in FEATURES]
-    table = append_from_text(rows, "t", ["h", "y"], fields, lambda: lambda texts: list(map(list, zip(*(features(t, lexicon, strong) for t in texts), strict=True)))).toPandas()
-    table = table.sort_values(["h", "y"], kind="stable")
-    x, y = table[list(FEATURES)].to_numpy(float), table["y"].to_numpy(float)
-    held = (table["h"].to_numpy() % FOLDS) == 0
-    if not len(y) or y.min() == y.max() or held.all() or not held.any() or y[~held].min() == y[~held].max():
-        return Model(lexicon, strong, Forest(0.0, np.zeros((0, 1), int), np.zeros((0, 1)), np.zeros((0, 2))), np.empty(0), np.empty(0))
-    forest = boost(x[~held], y[~held])
-    return Model(lexicon, strong, forest, *isotonic(forest.margin(x[held]), y[held]))
+            found: Counter = Counter()
+            for h, y, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                found.update((w, h % FOLDS, y) for w in {b"", *words_of(t)})
+            keys = list(found)
+            yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w, _, _ in keys]), pa.array([f for _, f, _ in keys], pa.int64()), pa.array([y for _, _, y in keys], pa.int64()), pa.array(found.values(), pa.int64())], names=["word", "fold", "y", "n"])
+
+    # A word's documents by fold and label: clean ones, then toxic ones.
+    sums = rows.mapInArrow(count, "word string, fold long, y long, n long").groupBy("word").agg(*[F.sum(F.when((F.col("fold") == f) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"n{y}{f}") for y in (0, 1) for f in range(FOLDS)])
+    sums, counted = written(sums, "words")
+    first = sums.where("word = ''").first()
+    totals = np.array(first[1:], float).reshape(2, FOLDS) if first else np.zeros((2, FOLDS))
+    without = [None, *range(FOLDS)]  # of all rows, and of all but a fold
+
+    def odds(n, fold, log):
+        """Log odds of a word, and their standard error squared, of counts by label and fold."""
+        clean, toxic = (sum(n[y][f] for f in range(FOLDS) if f != fold) for y in (0, 1))
+        all_clean, all_toxic = (sum(totals[y][f] for f in range(FOLDS) if f != fold) for y in (0, 1))
+        return log((toxic + 0.5) / (all_toxic + 1.0)) - log((clean + 0.5) / (all_clean + 1.0)), 1 / (toxic + 0.5) + 1 / (clean + 0.5)
+
+    stands = F.lit(False)
+    for fold_ in without:
+        o, e = odds([[F.col(f"n{y}{f}") for f in range(FOLDS)] for y in (0, 1)], fold_, lambda x: F.log(F.lit(x) if isinstance(x, float) else x))
+        stands = stands | ((o >= LOG_ODDS) & (o * o >= ERRORS**2 * e))
+    top = [(r["word"].encode(), np.array(r[1:], float).reshape(2, FOLDS)) for r in sums.where((F.col("word") != "") & stands).orderBy("word").collect()]
+    lexicons = []
+    for fold_ in without:
+        found = {w: odds(n, fold_, np.log) for w, n in top}
+        lexicons.append({w: float(o) for w, (o, e) in found.items() if o >= LOG_ODDS and o * o >= ERRORS**2 * e})
+    strong = [float(np.quantile(list(x.values()), 0.7)) if x else 0.0 for x in lexicons]
+
+    def kernel():
+        return lambda texts: [[[v for x, at in zip(lexicons, strong, strict=True) for v in features(t, x, at)] for t in texts]]
+
+    table = append_from_text(rows, "t", ["h", "y"], [StructField("x", ArrayType(DoubleType()))], kernel).toPandas().sort_values(["h", "y"], kind="stable")
+    for done in (path, counted):
+        remove(docs.sparkSession, done)
+    y, fold_of = table["y"].to_numpy(float), table["h"].to_numpy() % FOLDS
+    x = np.array(table["x"].tolist(), float).reshape(len(y), len(without), len(FEATURES))
+    if not len(y) or any(len(np.unique(y[fold_of != f])) < 2 for f in range(FOLDS)):
+        return Model(lexicons[0], strong[0], Forest(0.0, np.zeros((0, 1), int), np.zeros((0, 1)), np.zeros((0, 2))), np.empty(0), np.empty(0))
+    margin = np.zeros(len(y))
+    for k in range(FOLDS):
+        held = fold_of == k
+        margin[held] = boost(x[~held, k + 1], y[~held]).margin(x[held, k + 1])
+    return Model(lexicons[0], strong[0], boost(x[:, 0], y), *isotonic(margin, y))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
