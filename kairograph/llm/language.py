@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField
 
-from .common import append_from_text, c, least_hashes, remove, written
+from .common import append_from_text, c, least_hashes
 
 #: The fit reads this many labelled documents of each language at most, chosen by hash of the id.
 DOCS_PER_LANGUAGE = 1500
-#: Most n-grams of a language in the filter, the most frequent ones.
-NGRAMS_PER_LANGUAGE = 200_000
+#: Most bytes of the filter, which every worker holds.
+MOST_BYTES = 1 << 28
 #: An n-gram belongs to a language if its rate there is this share of its highest rate.
 RATE_SHARE = 0.35
 #: Hash functions, and slots for each n-gram in the filter.
@@ -68,6 +68,9 @@ class Filter:
         self.languages = languages
         total = sum(map(len, members.values()))
         self.bits = max(10, int(np.ceil(np.log2(max(1, total) * SLOTS_EACH))))
+        size = (len(languages) + 63) // 64 * 8 << self.bits
+        if size > MOST_BYTES:
+            raise ValueError(f"the filter of {total} n-grams of {len(languages)} languages takes {size} bytes; lower DOCS_PER_LANGUAGE")
         self.slots = np.zeros((1 << self.bits, (len(languages) + 63) // 64), np.uint64)
         for i, name in enumerate(languages):
             for at in self._places(members.get(name, np.empty(0, np.uint64))):
@@ -117,8 +120,9 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
     Of each language the ``DOCS_PER_LANGUAGE`` documents with the smallest
     hashes of their ids are read, whole.  A language's n-grams and their counts
-    are summed on the cluster; the driver gets at most ``NGRAMS_PER_LANGUAGE``
-    of each.  Without labelled rows the filter is empty and all is ``und``.
+    are summed on the cluster; the driver gets all of them, which the bounded
+    documents bound.  A filter over ``MOST_BYTES`` is refused.  Without labelled
+    rows the filter is empty and all is ``und``.
     """
     rows = docs.where((fold(c(doc_id), 3) != 1) & c(lang).isNotNull() & c(text).isNotNull())
     chosen = least_hashes(rows.select(c(lang).alias("lang"), c(doc_id).alias("id")), F.col("id"), DOCS_PER_LANGUAGE, "lang")
@@ -134,11 +138,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
                 grams, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams)), pa.array(grams.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    counts, path = written(texts.select("lang", "t").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ngrams")
-    cuts = _cuts(counts.groupBy("lang", "n").count().toArrow().to_pylist())  # a row for each count that occurs
-    kept = F.create_map(*[x for name, n in cuts.items() for x in (F.lit(name), F.lit(n))]) if cuts else None
-    table = counts.where(F.col("n") >= F.try_element_at(kept, F.col("lang")) if cuts else F.lit(False)).toArrow()
-    remove(docs.sparkSession, path)
+    table = texts.select("lang", "t").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names, grams, n = np.array(table["lang"].to_pylist(), object), table["gram"].to_numpy(), table["n"].to_numpy().astype(float)
     languages = sorted(set(names.tolist()))
     distinct, at = np.unique(grams, return_inverse=True)
@@ -151,23 +151,6 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     return Filter(languages, {name: grams[own & (names == name)].astype(np.int64).view(np.uint64) for name in languages})
 
 
-def _cuts(histogram: list[dict]) -> dict[str, int]:
-    """The least count of each language with which its n-grams stay within ``NGRAMS_PER_LANGUAGE``."""
-    by: dict[str, list[tuple[int, int]]] = {}
-    for row in histogram:
-        by.setdefault(row["lang"], []).append((row["n"], row["count"]))
-    cuts = {}
-    for name, pairs in by.items():
-        total, least = 0, max(n for n, _ in pairs) + 1
-        for n, many in sorted(pairs, reverse=True):
-            total += many
-            if total > NGRAMS_PER_LANGUAGE:
-                break
-            least = n
-        cuts[name] = least
-    return cuts
-
-
 def identify(docs: DataFrame, model: Filter, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns, ``lang_pred``, ``score`` and ``coverage`` of every text.
 
