@@ -9,14 +9,15 @@ one window; each such length has its own scan, as winnowing promises nothing
 below a full window.
 
 Two plans give the same rows.  ``broadcast``: a benchmark of at most
-``BROADCAST_BYTES`` of text (checked) goes to all tasks, and the documents are
-read once, without a shuffle.  ``join``: a larger benchmark is joined to the
+``BROADCAST_BYTES`` of text (checked) goes to all tasks, whose index is made once
+in each worker, and the documents are read once, without a shuffle.  ``join``: a larger benchmark is joined to the
 documents' fingerprints by hash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import append_from_text, c, written
 
@@ -33,7 +34,7 @@ WINDOW, K = 13, 7
 #: Share of a document's words that makes it contaminated: 1 in 20.
 SHARE = 20
 #: Largest benchmark, in bytes of text, that is sent to every task.
-BROADCAST_BYTES = 32_000_000
+BROADCAST_BYTES = 4_000_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -70,24 +71,44 @@ def winnow(h: np.ndarray, window: int = WINDOW, k: int = K) -> np.ndarray:
 
 
 class Index:
-    """Windows of items by length: fingerprints to look for, and words to item ids."""
+    """Windows of items by length: fingerprints to look for, and where windows with a hash stand in the items' words.
+
+    Words are kept once, in one list; a window is a hash and a place, in arrays
+    sorted by hash, so the index takes a few dozen bytes a word.
+    """
 
     def __init__(self, items: list[tuple[object, bytes | None]], window: int = WINDOW, k: int = K) -> None:
         self.window, self.k = window, k
-        self.windows: dict[int, dict[tuple[bytes, ...], set]] = defaultdict(lambda: defaultdict(set))
-        found: dict[int, list[np.ndarray]] = defaultdict(list)
-        for item, text in items:
-            words = words_of(text)
+        self.items = [item for item, _ in items]
+        self.words: list[bytes] = []
+        self.begins = np.zeros(len(items) + 1, np.int64)
+        shared: dict[bytes, bytes] = {}
+        found: dict[int, tuple[list, list, list]] = defaultdict(lambda: ([], [], []))
+        for i, (_, text) in enumerate(items):
+            words = [shared.setdefault(w, w) for w in words_of(text)]
             if n := min(len(words), window):
-                found[n].append(self.fingerprints(word_hashes(words), n))
-                for i in range(len(words) - n + 1):
-                    self.windows[n][tuple(words[i : i + n])].add(item)
-        self.prints = {n: np.unique(np.concatenate(x)) for n, x in found.items()}
-        self.windows = {n: dict(x) for n, x in self.windows.items()}
+                h = word_hashes(words)
+                for into, x in zip(found[n], (self.fingerprints(h, n), grams(h, n), np.arange(len(words) - n + 1) + len(self.words)), strict=True):
+                    into.append(x)
+            self.words += words
+            self.begins[i + 1] = len(self.words)
+        self.prints: dict[int, np.ndarray] = {}
+        self.whole: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n, (prints, hashes, places) in found.items():
+            h, at = np.concatenate(hashes), np.concatenate(places)
+            order = np.argsort(h, kind="stable")
+            self.prints[n], self.whole[n] = np.unique(np.concatenate(prints)), (h[order], at[order])
 
     def fingerprints(self, h: np.ndarray, n: int) -> np.ndarray:
         return winnow(h, self.window, self.k) if n == self.window else grams(h, n)
 
+    def found(self, words: list[bytes], n: int, whole: np.uint64) -> set:
+        """Items that have this very window; ``whole`` is its hash."""
+        h, places = self.whole[n]
+        at = places[np.searchsorted(h, whole) : np.searchsorted(h, whole, side="right")]
+        same = [p for p in at.tolist() if self.words[p : p + n] == words]
+        return {self.items[i] for i in (np.searchsorted(self.begins, same, side="right") - 1).tolist()} if same else set()
+
     def hits(self, texts: list[bytes | None]) -> list[tuple[int, list[int], set]]:
         """For each text: words, positions of the words hit, items found."""
         split = [words_of(t) for t in texts]
@@ -100,9 +121,11 @@ class Index:
             own = self.fingerprints(h, n)
             at = np.searchsorted(prints, own)
             at[at == len(prints)] = 0
-            for i in np.flatnonzero(prints[at] == own).tolist() if len(own) else ():
+            likely = np.flatnonzero(prints[at] == own) if len(own) else np.empty(0, np.int64)
+            whole = grams(h, n) if len(likely) else own
+            for i in likely.tolist():
                 d = int(of[i])
-                if i + n <= ends[d] and (those := self.windows[n].get(tuple(words[i : i + n]))):
+                if i + n <= ends[d] and (those := self.found(words[i : i + n], n, whole[i])):
                     begin = i - int(ends[d]) + counts[d]
                     hit[d].update(range(begin, begin + n))
                     items[d] |= those
@@ -114,7 +137,7 @@ def items_digest(items) -> str:
     return hashlib.sha256(",".join(sorted("" if x is None else str(x) for x in items)).encode()).hexdigest()
 
 
-_WINDOW_TYPE = StructType([StructField("print", LongType()), StructField("n", IntegerType()), StructField("at", LongType()), StructField("words", StringType())])
+_WINDOW_TYPE = StructType([StructField("print", LongType()), StructField("n", IntegerType()), StructField("at", LongType()), StructField("words", BinaryType())])
 _FIELDS = [StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("n_items", LongType()), StructField("items_sha256", StringType()), StructField("contaminated", BooleanType())]
 
 
@@ -122,11 +145,24 @@ def _row(n: int, hits: int, items) -> tuple:
     return n, hits, len(items), items_digest(items), hits > 0 and SHARE * hits >= n
 
 
+#: The last index made in this worker, by the plan that it belongs to.
+_made: dict[str, Index] = {}
+
+
+def _index_of(key: str, shared) -> Index:
+    if key not in _made:
+        _made.clear()
+        _made[key] = Index(shared.value)
+    return _made[key]
+
+
 def _broadcast_plan(docs: DataFrame, items: list, text: str, keep: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
+    key = uuid.uuid4().hex
+
     def kernel():
-        index = Index(shared.value)
+        index = _index_of(key, shared)
         return lambda texts: list(map(list, zip(*(_row(n, len(hit), found) for n, hit, found in index.hits(texts)), strict=True)))
 
     return append_from_text(docs, text, keep, _FIELDS, kernel)
@@ -149,7 +185,7 @@ def _windows(lengths: list[int], kind: str):
                     if kind == "item":
                         runs = np.arange(len(own))
                     for i, j in zip(runs.tolist(), [*runs[1:].tolist(), len(own)], strict=True) if len(runs) else ():
-                        found.append({"print": int(own[i].view(np.int64)), "n": n, "at": i, "words": b" ".join(words[i : j - 1 + n]).decode()})
+                        found.append({"print": int(own[i].view(np.int64)), "n": n, "at": i, "words": b" ".join(words[i : j - 1 + n])})
                 n_words.append(len(words))
                 rows.append(found)
             return [n_words, rows]
@@ -172,7 +208,7 @@ def _join_plan(docs: DataFrame, benchmark: DataFrame, text: str, keep: list[str]
         for batch in batches:
             out: list[list] = [[], [], []]
             for x in batch.to_pylist():
-                span, window = x["span"].split(" "), x["words"].split(" ")
+                span, window = x["span"].split(b" "), x["words"].split(b" ")
                 for i in range(len(span) - len(window) + 1):
                     if span[i : i + len(window)] == window:
                         for k, v in enumerate((x["__row"], list(range(x["at"] + i, x["at"] + i + len(window))), x["items"])):

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -67,3 +68,32 @@ def test_every_shared_window_is_found():
         doc[30:43] = item[4:17]
         n, hit, found = D.Index([("i", b" ".join(item))]).hits([b" ".join(doc)])[0]
         assert n == 60 and set(range(30, 43)) <= set(hit) and found == {"i"}
+
+
+def test_a_large_benchmark_by_both_plans(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    bench = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([1, 2, 5, 200, 400])))) for i in range(400)]
+    rows = [(i, " ".join([*rng.choices(vocabulary, k=30), *bench[i][1].split()[:40], *rng.choices(vocabulary, k=10)])) for i in range(60)]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    a, b = (sorted(tuple(r) for r in D.decontaminate(docs, items, keep=["doc_id"], plan=p).collect()) for p in ("broadcast", "join"))
+    assert a == b and any(r[-1] for r in a)
+
+
+def test_broken_text_by_both_plans(spark):
+    broken = spark.sql("SELECT 1L AS doc_id, cast(X'61FF62206364' AS string) AS text")
+    items = spark.sql("SELECT 1L AS item_id, cast(X'61FF62206364' AS string) AS text")
+    for plan in ("broadcast", "join"):
+        assert [tuple(r)[1:4] for r in D.decontaminate(broken, items, keep=["doc_id"], plan=plan).collect()] == [(2, 2, 1)]
+
+
+def test_the_index_is_small():
+    import tracemalloc
+
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(50_000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=300)).encode()) for i in range(1900)]  # 4 MB
+    tracemalloc.start()
+    D.Index(items)
+    assert tracemalloc.get_traced_memory()[0] < 80e6
+    tracemalloc.stop()
