@@ -32,10 +32,11 @@ def split_ratio(spark, sf):
     with_(
         EDGES,
         _CUTS,
-        """inner_cuts AS (SELECT 1 AS i, c1 AS c FROM cuts UNION ALL SELECT 2, c2 FROM cuts)""",
-        """runs AS (SELECT i, c, (SELECT min(pos) FROM edges x WHERE x.ts = e.ts) AS a, (SELECT max(pos) + 1 FROM edges x WHERE x.ts = e.ts) AS b FROM inner_cuts JOIN edges e ON e.pos = c)""",
-        """moved AS (SELECT i, CASE WHEN c - a <= b - c THEN a ELSE b END AS c FROM runs)""",
-        """m AS (SELECT 0 AS c0, (SELECT c FROM moved WHERE i = 1) AS c1, (SELECT c FROM moved WHERE i = 2) AS c2, n AS c3 FROM n)""",
+        """r1 AS (SELECT c1 AS c, (SELECT min(pos) FROM edges x WHERE x.ts = e.ts) AS a, (SELECT max(pos) + 1 FROM edges x WHERE x.ts = e.ts) AS b, n FROM cuts, n JOIN edges e ON e.pos = c1)""",
+        """m1 AS (SELECT CASE WHEN a = c THEN c WHEN a <= 0 THEN b WHEN b = n THEN a WHEN c - a <= b - c THEN a ELSE b END AS c1 FROM r1)""",
+        """r2 AS (SELECT c2 AS c, (SELECT min(pos) FROM edges x WHERE x.ts = e.ts) AS a, (SELECT max(pos) + 1 FROM edges x WHERE x.ts = e.ts) AS b, n, m1.c1 AS low FROM cuts, n, m1 JOIN edges e ON e.pos = c2)""",
+        """m2 AS (SELECT CASE WHEN c <= low THEN low WHEN a = c THEN c WHEN a <= low THEN b WHEN b = n THEN a WHEN c - a <= b - c THEN a ELSE b END AS c2 FROM r2)""",
+        """m AS (SELECT 0 AS c0, m1.c1, m2.c2, n AS c3 FROM m1, m2, n)""",
         """SELECT 0 AS split, c0 AS "begin", c1 AS "end" FROM m UNION ALL SELECT 1, c1, c2 FROM m UNION ALL SELECT 2, c2, c3 FROM m""",
     )
 )
@@ -92,11 +93,12 @@ def window_coverage(spark, sf):
 _LABELS = "labels_ AS (SELECT DISTINCT o_custkey AS node, epoch_us(o_orderdate) + 43200000000 AS ts, (o_custkey % 3)::INT AS split FROM orders)"
 
 
-def _labels(spark, sf):
+def _labels(spark, sf, distinct=True):
     o = spark.read.parquet(f"{sf}/orders.parquet")
     from ..sources.edges import micros
 
-    return o.select(F.col("o_custkey").alias("node"), (micros(F.col("o_orderdate")) + 43200000000).alias("ts"), (F.col("o_custkey") % 3).cast("int").alias("split")).distinct()
+    rows = o.select(F.col("o_custkey").alias("node"), (micros(F.col("o_orderdate")) + 43200000000).alias("ts"), (F.col("o_custkey") % 3).cast("int").alias("split"))
+    return rows.distinct() if distinct else rows
 
 
 @query(
@@ -114,10 +116,10 @@ def label_to_window_asof(spark, sf):
 _TIMES = """times AS (SELECT split, min(ts) AS low, max(ts) AS high FROM edges JOIN ranges ON pos >= "begin" AND pos < "end" GROUP BY split)"""
 
 
-@query(with_(EDGES, _CUTS, _RANGES, _TIMES, _LABELS, "SELECT l.node, l.ts, coalesce(max(t.split), 2) AS split FROM (SELECT node, ts FROM labels_) l LEFT JOIN times t ON l.ts >= low - 1 AND l.ts < high GROUP BY l.node, l.ts"))
+@query(with_(EDGES, _CUTS, _RANGES, _TIMES, _LABELS, "SELECT node, ts, coalesce((SELECT max(split) FROM times WHERE ts >= low - 1 AND ts < high), 2) AS split FROM (SELECT o_custkey AS node, epoch_us(o_orderdate) + 43200000000 AS ts FROM orders)"))
 def label_split_range(spark, sf):
     times = T.in_range(edges(spark, sf), _ranges(spark, sf)).groupBy("split").agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
-    return T.label_splits(_labels(spark, sf).drop("split"), times)
+    return T.label_splits(_labels(spark, sf, distinct=False).drop("split"), times)
 
 
 @query(with_(EDGES, _CUTS, _RANGES, _WINDOWS, 'nxt AS (SELECT *, lead("window") OVER (PARTITION BY split ORDER BY "window") AS t FROM wins)', 'SELECT n.split, n."window", e.pos, e.pos AS eid FROM nxt n JOIN wins w ON w.split = n.split AND w."window" = n.t JOIN edges e ON e.pos >= w."begin" AND e.pos < w."end"'))
@@ -130,7 +132,18 @@ def node_targets_horizon(spark, sf):
     return T.with_horizon(_windows(spark, sf), 2).select("split", "window", "labelled")
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + with_(
+        EDGES,
+        "n AS (SELECT count(*) AS n FROM edges)",
+        "r AS MATERIALIZED (SELECT pos, min(pos) OVER (PARTITION BY ts) AS a, max(pos) OVER (PARTITION BY ts) + 1 AS b FROM edges)",
+        f"""w AS (SELECT -1::BIGINT AS "window", 0::BIGINT AS "begin", 0::BIGINT AS "end" UNION ALL
+        SELECT "window" + 1, "end", CASE WHEN t = n OR t = b THEN t WHEN a <= "end" THEN b WHEN b = n OR t - a < b - t THEN a ELSE b END
+        FROM (SELECT w.*, n, least("end" + {BATCH}, n) AS t FROM w, n WHERE "end" < n) q JOIN r ON r.pos = t - 1)""",
+        'SELECT "window", "begin", "end" FROM w WHERE "window" >= 0',
+    ).removeprefix("WITH ")
+)
 def adaptive_batches(spark, sf):
     return T.adaptive_batches(edges(spark, sf), BATCH)
 

@@ -11,9 +11,15 @@ from pyspark.sql import functions as F
 RATIOS = (0.7, 0.15, 0.15)
 
 
+#: Ranges up to which a table of them is broadcast.
+BROADCAST_RANGES = 100_000
+
+
 def cut_points(n: int, ratios: Sequence[float] = RATIOS) -> list[int]:
-    """Positions at which the splits begin and the last ends; halves go to the even neighbour."""
-    sums = [sum(ratios[: i + 1]) for i in range(len(ratios))]
+    """Positions at which the splits begin and the last ends; ratios count as shares of their sum, halves go to the even neighbour."""
+    if min(ratios) < 0 or not sum(ratios) > 0:
+        raise ValueError("ratios may not be negative, nor all 0")
+    sums = [sum(ratios[: i + 1]) / sum(ratios) for i in range(len(ratios))]
     return [0, *(round(round(n * s, 6)) for s in sums[:-1]), n]
 
 
@@ -21,7 +27,9 @@ def split_ranges(edges: DataFrame, ratios: Sequence[float] = RATIOS, tie_safe: b
     """``split, begin, end`` row ranges by ratio; with ``tie_safe`` no time is cut.
 
     A cut inside a run of equal times goes to the run's nearer edge, to its begin
-    if both are as near.
+    if both are as near.  No cut goes back before the one before it: a run that
+    reaches back to that one is left at its end, and one that reaches the
+    table's end at its begin.
     """
     n = edges.count()
     cuts = cut_points(n, ratios)
@@ -29,18 +37,46 @@ def split_ranges(edges: DataFrame, ratios: Sequence[float] = RATIOS, tie_safe: b
         inner = [c for c in cuts[1:-1] if 0 < c < n]
         times = edges.where(F.col("pos").isin(inner)).select("pos", "ts")
         runs = edges.join(F.broadcast(times.select("ts").distinct()), "ts", "left_semi").groupBy("ts").agg(F.min("pos").alias("first"), (F.max("pos") + 1).alias("after"))
-        to = {r["pos"]: r["first"] if r["pos"] - r["first"] <= r["after"] - r["pos"] else r["after"] for r in times.join(runs, "ts").collect()}  # one row for each cut
-        cuts = [to.get(c, c) for c in cuts]
+        run_at = {r["pos"]: (r["first"], r["after"]) for r in times.join(runs, "ts").collect()}  # one row for each cut
+        for i in range(1, len(cuts) - 1):
+            cuts[i] = _off_run(cuts[i], cuts[i - 1], n, run_at)
     rows = [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
     return edges.sparkSession.createDataFrame(rows, "split int, begin long, end long")
 
 
-def in_range(rows: DataFrame, ranges: DataFrame, pos: str = "pos") -> DataFrame:
-    """Rows with each range that holds them; overlapping ranges give a row for each.
+def _off_run(cut: int, low: int, n: int, run_at: dict[int, tuple[int, int]]) -> int:
+    if not low < cut < n:
+        return max(low, min(n, cut))
+    first, after = run_at[cut]
+    if first == cut:
+        return cut
+    if first <= low:
+        return after
+    if after == n or cut - first <= after - cut:
+        return first
+    return after
+
+
+def in_range(rows: DataFrame, ranges: DataFrame, pos: str = "pos", by: Sequence[str] = (), how: str = "inner") -> DataFrame:
+    """Rows with each range ``begin <= pos < end`` (of equal ``by``) that holds them; overlapping ranges give a row for each.
 
-    For range tables of a bounded number of windows, which are broadcast.
+    An equi-join on blocks of the ranges' mean length, so that a row meets a few
+    ranges only, however many there are.  A table of up to ``BROADCAST_RANGES``
+    (checked) is broadcast, a larger one is shuffled by block.
     """
-    return rows.join(F.broadcast(ranges), (F.col(pos) >= F.col("begin")) & (F.col(pos) < F.col("end")))
+    ranges = ranges.where(F.col("end") > F.col("begin"))
+    many, mean = ranges.agg(F.count("*"), F.avg(F.col("end") - F.col("begin"))).first()
+    size = max(1, int(mean or 1))
+    block = lambda x: F.floor(x / F.lit(size)).cast("long")
+    taken = {*rows.columns, *ranges.columns}
+    at = next(x for x in ("__block", "__block_", "__block__") if x not in taken)
+    held = ranges.withColumn(at, F.explode(F.sequence(block(F.col("begin")), block(F.col("end") - 1))))
+    held = F.broadcast(held) if many <= BROADCAST_RANGES else held
+    left = rows.withColumn(at, block(F.col(pos)))
+    inside = (F.col("l." + pos) >= held["begin"]) & (F.col("l." + pos) < held["end"])
+    for k in (at, *by):
+        inside = inside & (F.col("l." + k) == held[k])
+    return left.alias("l").join(held, inside, how).select("l.*", *[held[x] for x in ranges.columns if x not in by]).drop(at)
 
 
 def equal_slices(n: int, count: int) -> list[tuple[int, int, int]]:
@@ -61,9 +97,11 @@ def adaptive_batches(edges: DataFrame, batch: int) -> DataFrame:
     """``window, begin, end``: batches of about ``batch`` rows that never cut a time.
 
     A cut inside a run of equal times goes to its nearer edge, to its end if both
-    are as near or the run begins the batch.  Only the counts of the times go to
-    the one task that walks through them, a stream of (time, count).
+    are as near or the run begins the batch, and to its begin if the run ends the
+    table.  Only the counts of the times go to the one task that walks through
+    them, a stream of (time, count).
     """
+    total = edges.count()
     counts = edges.groupBy("ts").count().orderBy("ts").coalesce(1)
 
     def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,7 +113,12 @@ def adaptive_batches(edges: DataFrame, batch: int) -> DataFrame:
                 at = after
                 while after - begin >= batch:
                     cut = begin + batch
-                    end = after if cut == after or first <= begin or after - cut <= cut - first else first
+                    if cut == after or first <= begin:
+                        end = after
+                    elif after == total or cut - first < after - cut:
+                        end = first
+                    else:
+                        end = after
                     out.append((window, begin, end))
                     window, begin = window + 1, end
                     if end == after:
@@ -103,7 +146,7 @@ def time_windows(edges: DataFrame, count: int, lags: int = 0, skip: int = 0) ->
 
 def window_counts(edges: DataFrame, windows: DataFrame, least: int = 0) -> DataFrame:
     """``snapshot, n_edges`` of time windows, those with more than ``least`` edges."""
-    held = edges.select("ts").join(F.broadcast(windows), (F.col("ts") >= F.col("t0")) & (F.col("ts") < F.col("t1")))
+    held = in_range(edges.select("ts"), windows.select("snapshot", F.col("t0").alias("begin"), F.col("t1").alias("end")), "ts")
     return held.groupBy("snapshot").agg(F.count("*").alias("n_edges")).where(F.col("n_edges") > least)
 
 
@@ -122,27 +165,30 @@ def covered(rows: DataFrame, windows: DataFrame) -> DataFrame:
 def label_windows(labels: DataFrame, windows: DataFrame) -> DataFrame:
     """Each label with the first window of its split that ends at its time or later; late ones with the last.
 
-    ``windows`` has ``split, window, end_ts`` and is of bounded size; windows
-    without rows (null ``end_ts``) are passed over.
+    ``windows`` has ``split, window, end_ts``; those without rows (null
+    ``end_ts``) are passed over.  A label of a split without any has a null
+    window.  Repeated labels each keep a row.
     """
-    ends = windows.where("end_ts is not null").groupBy("split", "end_ts").agg(F.min("window").alias("window"), F.max("window").alias("__last"))
-    of = Window.partitionBy("split")
-    spans = ends.select("split", "window", F.col("end_ts").alias("__high"), F.lag("end_ts").over(of.orderBy("end_ts")).alias("__low"), F.max("__last").over(of).alias("__last"))
-    late = spans.groupBy("split").agg(F.max("__last").alias("__last"))
-    inside = (labels["split"] == spans["split"]) & (labels["ts"] <= spans["__high"]) & (spans["__low"].isNull() | (labels["ts"] > spans["__low"]))
-    out = labels.join(F.broadcast(spans.drop("__last")), inside, "left").drop(spans["split"])
-    return out.join(F.broadcast(late), "split").select(*labels.columns, F.coalesce("window", "__last").alias("window"))
+    ends = windows.where("end_ts is not null").groupBy("split", "end_ts").agg(F.min("window").alias("window"), F.max("window").alias("last"))
+    before = F.lag("end_ts").over(Window.partitionBy("split").orderBy("end_ts"))
+    # The first window takes all before its end too: such labels are looked up at that end.
+    spans = ends.select("split", F.col("window").alias("__window"), F.coalesce(before + 1, "end_ts").alias("begin"), (F.col("end_ts") + 1).alias("end"))
+    edge = ends.groupBy("split").agg(F.min("end_ts").alias("__first"), F.max("last").alias("__last"))
+    rows = labels.join(F.broadcast(edge), "split", "left").withColumn("__at", F.greatest("ts", "__first"))
+    out = in_range(rows, spans, "__at", by=["split"], how="left")
+    return out.select(*labels.columns, F.coalesce("__window", "__last").alias("window"))
 
 
 def label_splits(labels: DataFrame, ranges: DataFrame) -> DataFrame:
     """Split of each label by time: a split covers from one before its first time to its last; later splits win, else the last.
 
-    ``ranges`` has ``split, low, high`` times.
+    ``ranges`` has ``split, low, high`` times, a row for each split.  Repeated
+    labels each keep a row.
     """
-    last = ranges.agg(F.max("split")).first()[0]
-    held = labels.join(F.broadcast(ranges), (F.col("ts") >= F.col("low") - 1) & (F.col("ts") < F.col("high")), "left")
-    keys = labels.columns
-    return held.groupBy(*keys).agg(F.coalesce(F.max("split"), F.lit(last)).alias("split"))
+    all_ranges = ranges.agg(F.collect_list(F.struct("split", "low", "high")).alias("__ranges"))
+    inside = F.filter("__ranges", lambda r: (F.col("ts") >= r["low"] - 1) & (F.col("ts") < r["high"]))
+    split = F.coalesce(F.array_max(F.transform(inside, lambda r: r["split"])), F.array_max(F.transform("__ranges", lambda r: r["split"])))
+    return labels.crossJoin(F.broadcast(all_ranges)).select(*labels.columns, split.alias("split"))  # one row
 
 
 def next_windows(windows: DataFrame) -> DataFrame:

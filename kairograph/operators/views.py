@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import with_position
+from .temporal import in_range
 
 
 def event_view(edges: DataFrame, owners: DataFrame, windows: DataFrame) -> DataFrame:
     """``part, split, window, n_edges, first_pos, last_pos, n_dst``: a part's share of each window, empty ones with 0.
 
-    ``windows`` (bounded) has ``split, window, begin, end``.
+    ``windows`` has ``split, window, begin, end``.
     """
     own = edges.select("pos", "dst").join(owners.select(F.col("node").alias("dst"), "part"), "dst")
-    held = own.join(F.broadcast(windows), (F.col("pos") >= F.col("begin")) & (F.col("pos") < F.col("end")))
+    held = in_range(own, windows)
     found = held.groupBy("part", "split", "window").agg(F.count("*").alias("n_edges"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count_distinct("dst").alias("n_dst"))
-    every = owners.select("part").distinct().crossJoin(F.broadcast(windows.select("split", "window")))  # parts x windows
-    return every.join(found, ["part", "split", "window"], "left").fillna(0, ["n_edges", "n_dst"])
+    every = windows.select("split", "window").crossJoin(F.broadcast(owners.select("part").distinct()))  # the result has parts x windows
+    return every.select("part", "split", "window").join(found, ["part", "split", "window"], "left").fillna(0, ["n_edges", "n_dst"])
 
 
 def temporal_csr(adjacency: DataFrame) -> DataFrame:
