@@ -85,7 +85,12 @@ def first_ts_by_node(spark, sf):
     return G.first_ts(adjacency(spark, sf), ["node"])
 
 
-@query(with_(EDGES, 'w AS (SELECT *, pos // 500 AS "window" FROM edges)', 'l AS (SELECT "window", node, max(pos) AS last FROM (SELECT "window", src AS node, pos FROM w UNION ALL SELECT "window", dst, pos FROM w) GROUP BY ALL)', 'SELECT w.pos, (CASE WHEN a.last = w.pos THEN 1 ELSE 0 END + CASE WHEN b.last = w.pos THEN 2 ELSE 0 END)::INT AS mask FROM w JOIN l a ON a."window" = w."window" AND a.node = w.src JOIN l b ON b."window" = w."window" AND b.node = w.dst'))
+@query(
+    with_(
+        EDGES, "e AS (SELECT pos, pos // 500 AS win, src AS node, 1 AS bit FROM edges UNION ALL SELECT pos, pos // 500, dst, 2 FROM edges)",
+        "SELECT pos, sum(CASE WHEN last = pos THEN bit ELSE 0 END)::INT AS mask FROM (SELECT pos, bit, max(pos) OVER (PARTITION BY win, node) AS last FROM e) GROUP BY pos",
+    )
+)
 def state_write_mask(spark, sf):
     return G.write_mask(edges(spark, sf).withColumn("window", F.floor(F.col("pos") / 500))).select("pos", "mask")
 

@@ -42,9 +42,12 @@ def labels_resolved(spark, sf):
     return E.label_rows(raw).select("node", F.col("ts").cast("int").alias("ts"), "split", "label")
 
 
-@query(with_(EDGES, "SELECT pos, src, dst, ts FROM edges WHERE pos IN (0, 7, 100, 1000)"))
+@query(with_(EDGES, "ids AS (SELECT DISTINCT (hash_of * 7919) % n AS pos FROM (SELECT event_id AS hash_of FROM events), (SELECT count(*) AS n FROM edges))", "SELECT e.pos, src, dst, ts FROM edges e JOIN ids ON ids.pos = e.pos"))
 def edges_by_id(spark, sf):
-    return edges(spark, sf).where(F.col("pos").isin(0, 7, 100, 1000)).select("pos", "src", "dst", "ts")
+    """The edges of a list of ids that grows with the events."""
+    e = edges(spark, sf)
+    ids = spark.read.parquet(f"{sf}/events.parquet").select(((F.col("event_id") * 7919) % F.lit(e.count())).alias("pos")).distinct()
+    return e.join(ids, "pos", "left_semi").select("pos", "src", "dst", "ts")
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, event_type FROM events")

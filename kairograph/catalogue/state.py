@@ -94,7 +94,18 @@ def endpoint_collect(spark, sf):
     return collect_endpoints(edges(spark, sf).select("pos", "src", "dst"), f, ["x"])
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + with_(
+        EDGES, ADJ,
+        "m AS MATERIALIZED (SELECT node, row_number() OVER (PARTITION BY node ORDER BY b) AS k, {'ts': ts, 'value': w} AS m FROM (SELECT *, pos // 500 AS b, row_number() OVER (PARTITION BY pos // 500, node ORDER BY ts DESC, pos DESC) AS r FROM adj) WHERE r = 1)",
+        """f AS (SELECT node, k, [m] AS box FROM m WHERE k = 1 UNION ALL
+        SELECT f.node, m.k, CASE WHEN len(box) < 3 THEN list_append(box, m.m) ELSE list_transform(box, lambda s, i: CASE WHEN i = list_position(list_transform(box, lambda x: x.ts), list_min(list_transform(box, lambda x: x.ts))) THEN m.m ELSE s END) END
+        FROM f JOIN m ON m.node = f.node AND m.k = f.k + 1)""",
+        "l AS (SELECT node, arg_max(box, k) AS box FROM f GROUP BY node)",
+        "SELECT node, (i - 1)::INT AS slot, box[i].ts AS ts, box[i].value AS value FROM (SELECT node, box, unnest(range(1, len(box) + 1)) AS i FROM l)",
+    ).removeprefix("WITH ")
+)
 def mailbox_fold(spark, sf):
     rows = adjacency(spark, sf).select("node", "ts", "pos", F.col("w").alias("value"), F.floor(F.col("pos") / 500).alias("batch"))
     return S.mailbox(rows, 3, "batch")

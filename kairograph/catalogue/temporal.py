@@ -148,7 +148,21 @@ def adaptive_batches(spark, sf):
     return T.adaptive_batches(edges(spark, sf), BATCH)
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + with_(
+        EDGES,
+        "e AS (SELECT pos, ts, src AS node FROM edges UNION ALL SELECT pos, ts, dst FROM edges)",
+        "g AS (SELECT pos, coalesce(max(gap), 0)::BIGINT AS gap FROM (SELECT pos, ts - lag(ts) OVER (PARTITION BY node ORDER BY pos) AS gap FROM e) GROUP BY pos)",
+        f"lim AS (SELECT avg(s) + 0.5::DOUBLE * (max(s) - avg(s)) AS l FROM (SELECT sum(gap)::BIGINT AS s FROM g GROUP BY pos // {BATCH}))",
+        "c AS MATERIALIZED (SELECT pos, (sum(gap) OVER (ORDER BY pos))::BIGINT AS c FROM g)",
+        "n AS (SELECT count(*) AS n FROM edges)",
+        """w AS (SELECT -1::BIGINT AS "window", 0::BIGINT AS "begin", 0::BIGINT AS "end", 0::BIGINT AS base UNION ALL
+        SELECT "window" + 1, "end", coalesce(p, n - 1) + 1, coalesce(q, 0) FROM (
+          SELECT "window", "end", n, min(c.pos) FILTER (c.c - base > l) AS p, (min(c.c) FILTER (c.c - base > l))::BIGINT AS q FROM w, n, lim, c WHERE "end" < n AND c.pos >= "end" GROUP BY ALL))""",
+        'SELECT "window", "begin", "end" FROM w WHERE "window" >= 0',
+    ).removeprefix("WITH ")
+)
 def staleness_windows(spark, sf):
     return T.staleness_windows(edges(spark, sf), BATCH, 0.5)
 

@@ -47,13 +47,14 @@ def snapshot_csc(spark, sf):
 
 @query(
     with_(
-        EDGES, SNAP, OWNERS, _CHUNKS, 'm AS (SELECT w AS "window", w - a AS member, a::INT AS age, CASE WHEN a >= 1 THEN [8, 4][a::INT] END AS lim FROM generate_series(0, 80) x(w), generate_series(0, 2) y(a) WHERE w >= a)',
+        EDGES, SNAP, OWNERS, _CHUNKS, 'm AS (SELECT w AS "window", w - a AS member, a::INT AS age, CASE WHEN a >= 1 THEN [8, 4][a::INT] END AS lim FROM (SELECT unnest(range(max(snapshot) + 1)) AS w FROM snaps) x, generate_series(0, 2) y(a) WHERE w >= a)',
         'SELECT "window", age, sum(CASE WHEN lim IS NULL OR chunk < lim THEN 1 ELSE 0 END)::BIGINT AS n_kept, sum(CASE WHEN lim IS NULL OR chunk < lim THEN 0 ELSE 1 END)::BIGINT AS n_dropped FROM m JOIN snaps ON snapshot = member JOIN chunks ON node = dst GROUP BY "window", age',
     )
 )
 def window_summary(spark, sf):
-    w = spark.range(81).select(F.lit(0).alias("split"), F.col("id").alias("window"))
-    return V.window_summary(T.decayed_window(w, 1, 2, [8, 4]), snapshots(spark, sf), _chunks(spark, sf))
+    s = snapshots(spark, sf)
+    w = s.agg(F.max("snapshot").alias("m")).select(F.lit(0).alias("split"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"))).alias("window"))
+    return V.window_summary(T.decayed_window(w, 1, 2, [8, 4]), s, _chunks(spark, sf))
 
 
 @query(with_(EDGES, OWNERS, HOT, _RANKH, _LOCAL, "q AS (SELECT DISTINCT pos // 5000 AS batch, dst AS node FROM edges)", "SELECT batch, q.node, part, loc, (row_number() OVER (PARTITION BY batch ORDER BY part, loc) - 1)::INT AS slot FROM q JOIN loc ON loc.node = q.node"))

@@ -262,15 +262,14 @@ def staleness_windows(edges: DataFrame, batch: int, rate: float) -> DataFrame:
     limit = (sums[0] or 0) + rate * ((sums[1] or 0) - (sums[0] or 0))
 
     def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        begin = at = window = 0
-        total = 0.0
+        begin = at = window = total = 0
         for part in parts:
             out = []
             for gap in part["gap"].tolist():
                 at, total = at + 1, total + gap
                 if total > limit:
                     out.append((window, begin, at))
-                    begin, window, total = at, window + 1, 0.0
+                    begin, window, total = at, window + 1, 0
             yield pd.DataFrame(out, columns=["window", "begin", "end"])
         if at > begin:
             yield pd.DataFrame([(window, begin, at)], columns=["window", "begin", "end"])

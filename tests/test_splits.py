@@ -110,7 +110,8 @@ def test_no_nested_loops_over_windows(spark):
     windows = T.batch_windows(edges, T.split_ranges(edges), 5)
     owners = spark.createDataFrame([(i, i % 2) for i in range(3)], "node long, part int")
     labels = edges.select(F.col("dst").alias("node"), "ts", (F.col("pos") % 3).cast("int").alias("split"))
-    plans = [T.in_range(edges, windows), T.edge_targets(edges, windows), T.label_windows(labels, T.window_end_ts(edges, windows)), T.window_counts(edges, T.time_windows(edges, 4))]
+    times = spark.createDataFrame([(0, 0, 20), (1, 10, 30)], "snapshot int, t0 long, t1 long")
+    plans = [T.in_range(edges, windows), T.edge_targets(edges, windows), T.label_windows(labels, T.window_end_ts(edges, windows)), T.window_counts(edges, times)]
     for df in plans:
         assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
     view = V.event_view(edges, owners, windows)._jdf.queryExecution().executedPlan().toString()
