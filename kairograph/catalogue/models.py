@@ -71,12 +71,105 @@ def persistence_mse(spark, sf):
     return _rounded(R.squared_error(rows, "x", "label"), 8, "mse")
 
 
-_STEP = "{b} AS (SELECT p.node, p.x, 0.5 * p.h + 0.5 * tanh(coalesce(m, 0)) AS h FROM {a} p LEFT JOIN (SELECT dst, sum(nw * (h + x)) AS m FROM (SELECT src, dst, w / 1000 AS nw FROM snaps WHERE snapshot = {i}) e JOIN {a} q ON q.node = e.src GROUP BY dst) g ON g.dst = p.node)"
+_LINKS = "links AS MATERIALIZED (SELECT snapshot, src, dst, w / 1000 AS norm FROM snaps UNION ALL SELECT s, node, node, NULL FROM feat, (SELECT unnest(range(max(snapshot) + 1)) AS s FROM snaps))"
+_ALL = "(SELECT max(snapshot) + 1 FROM snaps)"
 
 
-@query(with_(EDGES, SNAP, _FEAT, "s0 AS (SELECT node, x1 AS x, 0.0::DOUBLE AS h FROM feat)", _STEP.format(a="s0", b="s1", i=0), _STEP.format(a="s1", b="s2", i=1), "SELECT node, round(h, 9) AS h FROM s2"))
+def _links(spark, sf):
+    return snapshots(spark, sf).select("snapshot", "src", "dst", (F.col("w") / 1000).alias("norm"))
+
+
+@query(
+    "WITH RECURSIVE "
+    + with_(
+        EDGES, SNAP, _FEAT, _LINKS,
+        f"""s AS (SELECT 0::BIGINT AS k, node, x1 AS x, 0.0::DOUBLE AS h FROM feat UNION ALL
+        SELECT k + 1, dst, max(x) FILTER (WHERE norm IS NULL), 0.5 * max(h) FILTER (WHERE norm IS NULL) + 0.5 * tanh(coalesce(sum(norm * (h + x)), 0)) FROM s JOIN links ON snapshot = k AND src = node WHERE k < {_ALL} GROUP BY k, dst)""",
+        f"SELECT node, round(h, 8) AS h FROM s WHERE k = {_ALL}",
+    ).removeprefix("WITH ")
+)
 def coupled_scan(spark, sf):
-    s = snapshots(spark, sf)
-    snaps = [s.where(F.col("snapshot") == i).select("src", "dst", (F.col("w") / 1000).alias("norm")) for i in (0, 1)]
-    *_, last = S.coupled_scan(snaps, _scaled(spark, sf).select("node", F.col("x1").alias("x")), 0.5)
-    return _rounded(last.select("node", "h"), 9, "h")
+    """All snapshots, each reading the neighbours' states after the one before."""
+    out = S.coupled_states(_links(spark, sf), _scaled(spark, sf).select("node", F.col("x1").alias("x")), 0.5)
+    return _rounded(out.select("node", "h"), 8, "h")
+
+
+_GRU = {"z": [[0.2, -0.3, 0.4, 0.1]], "r": [[-0.1, 0.2, 0.3, 0.5]], "n": [[0.5, 0.4, -0.2, 0.6]]}
+
+
+def _sql_linear(k: str, names: str) -> str:
+    return "(" + " + ".join(f"{w} * {x}" for w, x in zip(_GRU[k][0], names.split(), strict=True)) + ")"
+
+
+@query(
+    "WITH RECURSIVE "
+    + with_(
+        EDGES, SNAP, _FEAT, _LINKS,
+        f"""s AS (SELECT 0::BIGINT AS k, node, x1 AS x, 0.0::DOUBLE AS h FROM feat UNION ALL
+        SELECT k + 1, node, x, z * h + (1 - z) * tanh({_sql_linear("n", "x ax r ar")}) FROM (
+          SELECT k, dst AS node, coalesce(sum(norm * r), 0) AS ar, max(x) FILTER (WHERE norm IS NULL) AS x, max(ax) FILTER (WHERE norm IS NULL) AS ax, max(h) FILTER (WHERE norm IS NULL) AS h, max(z) FILTER (WHERE norm IS NULL) AS z, max(r) FILTER (WHERE norm IS NULL) AS r FROM (
+            SELECT k, node, x, ax, h, 1 / (1 + exp(-{_sql_linear("z", "x ax h ah")})) AS z, h / (1 + exp(-{_sql_linear("r", "x ax h ah")})) AS r FROM (
+              SELECT k, dst AS node, coalesce(sum(norm * x), 0) AS ax, coalesce(sum(norm * h), 0) AS ah, max(x) FILTER (WHERE norm IS NULL) AS x, max(h) FILTER (WHERE norm IS NULL) AS h
+              FROM s JOIN links ON snapshot = k AND src = node WHERE k < {_ALL} GROUP BY k, dst)) g JOIN links ON snapshot = k AND src = node GROUP BY k, dst))""",
+        f"SELECT node, round(h, 8) AS h0 FROM s WHERE k = {_ALL}",
+    ).removeprefix("WITH ")
+)
+def gconv_gru(spark, sf):
+    """A graph-convolutional GRU over all snapshots."""
+    nodes = _scaled(spark, sf).select("node", F.col("x1").alias("x0"))
+    return _rounded(M.gconv_gru(_links(spark, sf), nodes, 1, 1, _GRU).select("node", "h0"), 8, "h0")
+
+
+_TGN = {
+    "wz": [[0.02, -0.03, 0.05, 0.01, 0.04, 0.1], [0.03, 0.02, -0.01, 0.04, -0.02, 0.2]], "uz": [[0.1, -0.2], [0.3, 0.1]],
+    "wr": [[-0.01, 0.02, 0.03, -0.05, 0.02, 0.3], [0.02, 0.01, 0.02, 0.03, 0.01, -0.1]], "ur": [[0.2, 0.1], [-0.1, 0.3]],
+    "wn": [[0.3, -0.2, 0.1, 0.2, 0.5, -0.2], [-0.1, 0.4, 0.2, -0.3, 0.6, 0.1]], "un": [[0.4, 0.1], [-0.2, 0.5]],
+}
+_TGN_WINDOWS, _TGN_K = 6, 4
+
+
+def _sql_tgn_update() -> str:
+    xs, hs = [*[f"v{i}" for i in range(5)], "dt"], ["m0", "m1"]
+    dot_ = lambda ws, names: "(" + " + ".join(f"{w} * {n}" for w, n in zip(ws, names, strict=True)) + ")"
+    out = []
+    for i in (0, 1):
+        gate = {k: f"(1 / (1 + exp(-({dot_(_TGN['w' + k][i], xs)} + {dot_(_TGN['u' + k][i], hs)}))))" for k in "zr"}
+        new = f"tanh({dot_(_TGN['wn'][i], xs)} + {gate['r']} * {dot_(_TGN['un'][i], hs)})"
+        out.append(f"CASE WHEN mail_ts IS NULL THEN m{i} ELSE (1 - {gate['z']}) * {new} + {gate['z']} * m{i} END AS u{i}")
+    return ", ".join(out)
+
+
+def _sql_tgn() -> str:
+    parts = [EDGES, ADJ, _FEAT, "n AS (SELECT count(*) AS n FROM edges)", f"win AS MATERIALIZED (SELECT *, pos * {_TGN_WINDOWS} // n AS k FROM edges, n)", "mem0 AS (SELECT 0::BIGINT AS node, 0.0::DOUBLE AS m0, 0.0::DOUBLE AS m1, 0::BIGINT AS ts WHERE false)", "mail0 AS (SELECT 0::BIGINT AS node, 0.0::DOUBLE AS v0, 0.0::DOUBLE AS v1, 0.0::DOUBLE AS v2, 0.0::DOUBLE AS v3, 0.0::DOUBLE AS v4, 0::BIGINT AS mail_ts WHERE false)"]
+    for k in range(_TGN_WINDOWS):
+        parts += [
+            f"up{k} AS MATERIALIZED (SELECT node, x0, x1, {_sql_tgn_update()} FROM (SELECT f.node, x0, x1, coalesce(m0, 0) AS m0, coalesce(m1, 0) AS m1, v0, v1, v2, v3, v4, mail_ts, coalesce((mail_ts - m.ts) / 1e13, 0) AS dt FROM feat f LEFT JOIN mem{k} m ON m.node = f.node LEFT JOIN mail{k} l ON l.node = f.node))",
+            f"told{k} AS MATERIALIZED (SELECT node, ts, v FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY ts DESC, pos DESC) AS r FROM (SELECT src AS node, ts, pos, [a.u0, a.u1, b.u0, b.u1, w] AS v FROM win JOIN up{k} a ON a.node = src JOIN up{k} b ON b.node = dst WHERE k = {k} UNION ALL SELECT dst, ts, pos, [b.u0, b.u1, a.u0, a.u1, w] FROM win JOIN up{k} a ON a.node = src JOIN up{k} b ON b.node = dst WHERE k = {k})) WHERE r = 1)",
+            f"mem{k + 1} AS MATERIALIZED (SELECT * FROM mem{k} WHERE node NOT IN (SELECT node FROM told{k}) UNION ALL SELECT t.node, u0, u1, t.ts FROM told{k} t JOIN up{k} u ON u.node = t.node)",
+            f"mail{k + 1} AS MATERIALIZED (SELECT * FROM mail{k} WHERE node NOT IN (SELECT node FROM told{k}) UNION ALL SELECT node, v[1], v[2], v[3], v[4], v[5], ts FROM told{k})",
+        ]
+        if k >= _TGN_WINDOWS // 2:
+            parts += [
+                f"hid{k} AS MATERIALIZED (SELECT node, x0 + u0 AS h0, x1 + u1 AS h1 FROM up{k})",
+                f"near{k} AS (SELECT node, other FROM (SELECT r.node, a.other, row_number() OVER (PARTITION BY r.node ORDER BY a.ts DESC, a.pos DESC, a.dir DESC) AS back FROM (SELECT src AS node FROM win WHERE k = {k} UNION SELECT dst FROM win WHERE k = {k}) r JOIN adj a ON a.node = r.node AND a.ts < (SELECT min(ts) FROM win WHERE k = {k})) WHERE back <= {_TGN_K})",
+                f"att{k} AS (SELECT node, sum(e * k0) / sum(e) AS a0, sum(e * k1) / sum(e) AS a1 FROM (SELECT node, k0, k1, exp(CASE WHEN s > 0 THEN s ELSE 0.2 * s END) AS e FROM (SELECT n.node, b.h0 AS k0, b.h1 AS k1, (a.h0 * b.h0 + a.h1 * b.h1) / sqrt(2) AS s FROM near{k} n JOIN hid{k} a ON a.node = n.node JOIN hid{k} b ON b.node = n.other)) GROUP BY node)",
+                f"z{k} AS MATERIALIZED (SELECT h.node, h0 + coalesce(a0, 0) AS z0, h1 + coalesce(a1, 0) AS z1 FROM hid{k} h LEFT JOIN att{k} a ON a.node = h.node)",
+                f"sc{k} AS (SELECT pos, 1 / (1 + exp(-(a.z0 * b.z0 + a.z1 * b.z1))) AS score FROM win JOIN z{k} a ON a.node = src JOIN z{k} b ON b.node = dst WHERE k = {k})",
+            ]
+    return with_(*parts, " UNION ALL ".join(f"SELECT pos, round(score, 8) AS score FROM sc{k}" for k in range(_TGN_WINDOWS // 2, _TGN_WINDOWS)))
+
+
+@query(_sql_tgn())
+def tgn_scores(spark, sf):
+    """An event model over all windows: the first half warms up the state, the second half is scored."""
+    e = edges(spark, sf)
+    n = e.count()
+    model = M.EventModel(_scaled(spark, sf), adjacency(spark, sf), 2, _TGN, _TGN_K, 1e13)
+    window = F.floor(F.col("pos") * _TGN_WINDOWS / F.lit(n))
+    for k in range(_TGN_WINDOWS // 2):
+        model.replay(e.where(window == k))
+    scores = [model.score(e.where(window == k)) for k in range(_TGN_WINDOWS // 2, _TGN_WINDOWS)]
+    out = scores[0]
+    for s in scores[1:]:
+        out = out.unionByName(s)
+    return _rounded(out, 8, "score")

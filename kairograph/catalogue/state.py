@@ -78,12 +78,31 @@ def history_predict(spark, sf):
     return S.predict(_history(spark, sf), _asked(spark, sf)).withColumn("predicted", F.round("predicted", 9))
 
 
-@query(with_(EDGES, SNAP, _HIST, "c AS (SELECT node, version, abs(value - lag(value, 1, 0.0) OVER (PARTITION BY node ORDER BY version)) AS change FROM hist)", "d AS (SELECT *, sum(CASE WHEN change >= 40 THEN 1 ELSE 0 END) OVER (PARTITION BY node ORDER BY version) AS run FROM c)", "SELECT node, version, change >= 40 OR sum(CASE WHEN change >= 40 THEN 0 ELSE 1 END) OVER (PARTITION BY node, run ORDER BY version) % 3 = 0 AS published FROM d"))
+_VECTORS = "vec AS MATERIALIZED (SELECT src AS node, snapshot + 1 AS version, sum(w) AS v0, sum(disc) * 100 AS v1, row_number() OVER (PARTITION BY src ORDER BY snapshot) AS k FROM snaps GROUP BY src, snapshot)"
+
+
+def _published(moved: str, skips: int) -> str:
+    """Each node's states in order, with the value last published and how many were held back since."""
+    step = f"""SELECT node, k, version, v0, v1, p, CASE WHEN p THEN v0 ELSE l0 END, CASE WHEN p THEN v1 ELSE l1 END, CASE WHEN p THEN 0 ELSE held + 1 END
+      FROM (SELECT *, {moved} OR held >= {skips} AS p FROM ({{rows}}))"""
+    first = step.format(rows="SELECT node, k, version, v0, v1, 0.0::DOUBLE AS l0, 0.0::DOUBLE AS l1, 0 AS held FROM vec WHERE k = 1")
+    more = step.format(rows="SELECT v.node, v.k, v.version, v.v0, v.v1, l0, l1, held FROM f JOIN vec v ON v.node = f.node AND v.k = f.k + 1")
+    return "WITH RECURSIVE " + with_(EDGES, SNAP, _VECTORS, f"f(node, k, version, v0, v1, p, l0, l1, held) AS ({first} UNION ALL {more})", "SELECT node, version, p AS published FROM f").removeprefix("WITH ")
+
+
+def _vector_history(spark, sf):
+    rows = snapshots(spark, sf).groupBy(F.col("src").alias("node"), (F.col("snapshot") + 1).alias("version"))
+    return rows.agg(F.sum("w").alias("v0"), (F.sum("disc") * 100).alias("v1")).select("node", "version", F.array("v0", "v1").alias("value"))
+
+
+@query(_published("sqrt((v0 - l0) * (v0 - l0) + (v1 - l1) * (v1 - l1)) >= 40", 2))
 def publish_filter(spark, sf):
-    from pyspark.sql import Window
+    return S.refresh_admission(_vector_history(spark, sf), least_norm=40, max_skips=2)
+
 
-    change = F.abs(F.col("value") - F.lag("value", 1, 0.0).over(Window.partitionBy("node").orderBy("version")))
-    return S.refresh_decisions(_history(spark, sf).select("node", "version", change.alias("change")), 40, 2)
+@query(_published("1 - CASE WHEN l0 * l0 + l1 * l1 > 0 AND v0 * v0 + v1 * v1 > 0 THEN (v0 * l0 + v1 * l1) / sqrt((v0 * v0 + v1 * v1) * (l0 * l0 + l1 * l1)) ELSE 0 END > 0.01", 3))
+def publish_filter_cosine(spark, sf):
+    return S.refresh_admission(_vector_history(spark, sf), least_cosine=0.01, max_skips=3)
 
 
 @query(with_(EDGES, "SELECT pos, src, dst, a.c_acctbal AS src_x, b.p_retailprice AS dst_x FROM edges JOIN customer a ON a.c_custkey = src JOIN part b ON 10000000 + b.p_partkey = dst"))
@@ -145,11 +164,39 @@ def gcn_layer(spark, sf):
     return out.withColumns({c: F.round(c, 5) for c in ("h0", "h1")})
 
 
-@query()
-def tgcn_two_steps(spark, sf):
-    gates = {k: [[0.1, -0.2], [0.05, 0.3]] for k in ("wz", "uz", "wr", "ur", "wn", "un")}
+_GATES = {k: [[0.1, -0.2], [0.05, 0.3]] for k in ("wz", "uz", "wr", "ur", "wn", "un")}
+
+
+def _sql_gru() -> tuple[str, str]:
+    def gate(k, i):
+        return " + ".join([f"{_GATES[f'w{k}'][i][j]} * x{j}" for j in (0, 1)]), " + ".join([f"{_GATES[f'u{k}'][i][j]} * s{j}" for j in (0, 1)])
+
+    def one(i):
+        z, r, n = (gate(k, i) for k in "zrn")
+        sig = lambda g: f"(1 / (1 + exp(-({g[0]} + {g[1]}))))"
+        return f"(1 - {sig(z)}) * tanh({n[0]} + {sig(r)} * ({n[1]})) + {sig(z)} * s{i}"
+
+    return one(0), one(1)
+
+
+@query(
+    "WITH RECURSIVE "
+    + with_(
+        EDGES, SNAP,
+        "sums AS (SELECT snapshot, node, sum(o) + 1 AS o, sum(i) + 1 AS i FROM (SELECT snapshot, src AS node, w AS o, 0 AS i FROM snaps UNION ALL SELECT snapshot, dst, 0, w FROM snaps) GROUP BY ALL)",
+        "normed AS (SELECT e.snapshot, e.src, e.dst, e.w / sqrt(a.o * b.i) AS norm FROM snaps e JOIN sums a ON a.node = e.src AND a.snapshot = e.snapshot JOIN sums b ON b.node = e.dst AND b.snapshot = e.snapshot UNION ALL SELECT snapshot, node, node, 1 / sqrt(o * i) FROM sums)",
+        "feat AS (SELECT c_custkey AS node, c_acctbal AS x0, c_nationkey::DOUBLE AS x1 FROM customer UNION ALL SELECT 10000000 + p_partkey, p_retailprice, p_size::DOUBLE FROM part)",
+        "conv AS MATERIALIZED (SELECT snapshot, dst AS node, greatest(sum(norm * (0.001 * x0 + 0.02 * x1)), 0) AS x0, greatest(sum(norm * (-0.002 * x0 + 0.03 * x1)), 0) AS x1 FROM normed JOIN feat ON feat.node = src GROUP BY ALL)",
+        f"w AS (SELECT 0::BIGINT AS k, node, 0.0::DOUBLE AS s0, 0.0::DOUBLE AS s1 FROM feat UNION ALL SELECT k + 1, node, {_sql_gru()[0]}, {_sql_gru()[1]} FROM (SELECT w.k, w.node, s0, s1, coalesce(x0, 0) AS x0, coalesce(x1, 0) AS x1 FROM w LEFT JOIN conv c ON c.snapshot = w.k AND c.node = w.node WHERE w.k <= (SELECT max(snapshot) FROM snaps)))",
+        "SELECT node, CASE WHEN round(s0, 6) = 0 THEN 0 ELSE round(s0, 6) END AS s0, CASE WHEN round(s1, 6) = 0 THEN 0 ELSE round(s1, 6) END AS s1 FROM w WHERE k = (SELECT max(snapshot) + 1 FROM snaps)",
+    ).removeprefix("WITH ")
+)
+def tgcn_scan(spark, sf):
+    """All snapshots: their convolutions at once, then a GRU over each node's."""
     snaps, f = snapshots(spark, sf), features(spark, sf)
-    state = f.select("node", F.lit(0.0).alias("s0"), F.lit(0.0).alias("s1"))
-    for i in (0, 1):
-        state = M.tgcn_step(G.gcn_norm(snaps.where(F.col("snapshot") == i)), f, state, _W, gates)
-    return state.withColumns({c: F.round(c, 6) for c in ("s0", "s1")})
+    sums = G.weighted_sums(snaps, "snapshot")
+    normed = G.gcn_norm_by(snaps, sums, "snapshot")
+    slim = f.select("node", *[c.alias(f"h{i}") for i, c in enumerate(M.linear([F.col("x0"), F.col("x1")], _W))])
+    conv = normed.join(slim.withColumnRenamed("node", "src"), "src").groupBy("snapshot", F.col("dst").alias("node")).agg(*[F.greatest(F.sum(F.col("norm") * F.col(h)), F.lit(0.0)).alias(h) for h in ("h0", "h1")])
+    out = M.tgcn_scan(conv, f.select("node"), _GATES)
+    return out.withColumns({c: F.when(F.round(c, 6) == 0, 0.0).otherwise(F.round(c, 6)) for c in ("s0", "s1")})

@@ -45,6 +45,20 @@ def gcn_norm(edges: DataFrame, self_loops: bool = True) -> DataFrame:
     return real.union(own)
 
 
+def weighted_sums(edges: DataFrame, by: str) -> DataFrame:
+    """``by, node, o, i``: sums of the weights that leave and enter a node."""
+    ends = edges.select(by, F.inline(F.array(F.struct(F.col("src").alias("node"), F.col("w").alias("o"), F.lit(0.0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0.0).alias("o"), F.col("w").alias("i")))))
+    return ends.groupBy(by, "node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+
+
+def gcn_norm_by(edges: DataFrame, sums: DataFrame, by: str) -> DataFrame:
+    """``gcn_norm`` with self-loops of every snapshot at once; ``sums`` as of ``weighted_sums``."""
+    norm = lambda w: w / F.sqrt((F.col("o") + 1) * (F.col("i") + 1))
+    real = edges.join(sums.select(by, F.col("node").alias("src"), "o"), [by, "src"]).join(sums.select(by, F.col("node").alias("dst"), "i"), [by, "dst"])
+    own = sums.select(by, F.col("node").alias("src"), F.col("node").alias("dst"), norm(F.lit(1.0)).alias("norm"))
+    return real.select(by, "src", "dst", norm(F.col("w")).alias("norm")).unionByName(own)
+
+
 def diffusion_norm(edges: DataFrame) -> DataFrame:
     """Edges with ``forward`` = w / out-weight of src and ``backward`` = w / in-weight of dst; self-loops weigh 0."""
     rows = edges.withColumn("w", F.when(F.col("src") != F.col("dst"), F.col("w")).otherwise(0.0))

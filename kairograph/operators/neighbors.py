@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform01
-from ..sources.tables import with_position
+from ..sources.tables import with_position, written
 
 #: Names under which a policy may be asked for.
 POLICIES = {"recent": "recent", "recency": "recent", "uniform": "uniform", "random": "uniform", "weighted": "weighted", "boundary_recent_uniform": "boundary_recent", "boundary_uniform": "boundary_recent", "boundary_recent_decay": "boundary_decay", "snapshot_uniform": "snapshot"}
@@ -186,13 +186,18 @@ def static_sample(adjacency: DataFrame, k: int, salt: int = 37) -> DataFrame:
 
 
 def expand(adjacency: DataFrame, roots: DataFrame, fanouts: list[int]) -> DataFrame:
-    """Hops: ``layer, node, cutoff, other, ts, pos``.  The next layer's roots are the neighbours at their edges' times."""
+    """Hops: ``layer, node, cutoff, other, ts, pos``.  The next layer's roots are the neighbours at their edges' times.
+
+    The adjacency's ranks and each layer are written once, so that no layer
+    works out those before it again.
+    """
+    ranks = written(ranked(adjacency), "ranks")
     out, frontier = None, roots
     for layer, k in enumerate(fanouts):
-        found = recent(adjacency, frontier, k)
-        hop = found.select(F.lit(layer).alias("layer"), "node", "cutoff", "other", "ts", "pos", "dir")
+        near = _ranked_between(counted_roots(frontier, ranks), ranks, k)
+        hop = written(near.select(F.lit(layer).alias("layer"), "node", "cutoff", "other", "ts", "pos", "dir"), "hop")
         out = hop if out is None else out.unionByName(hop)
-        frontier = found.select(F.col("other").alias("node"), F.col("ts").alias("cutoff")).distinct()
+        frontier = hop.select(F.col("other").alias("node"), F.col("ts").alias("cutoff")).distinct()
     return out
 
 

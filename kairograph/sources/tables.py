@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where a local session has it unset, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="kairograph-"))
         folder = spark.sparkContext.getCheckpointDir()
         atexit.register(delete, spark, folder)
@@ -44,11 +47,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read again; it goes when the driver ends."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder, read again; with ``by`` in a folder for each of its values.  It goes when the driver ends."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    if by:
+        df.repartition(by).write.partitionBy(by).parquet(path)
+    else:
+        df.write.parquet(path)
     delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
