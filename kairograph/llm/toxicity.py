@@ -42,6 +42,7 @@ _INNER = re.compile(rb"[A-Za-z][0-9@$!|+*#_.-]{1,3}[A-Za-z]")
 _SPACED = re.compile(rb"\b[A-Za-z](?:[ .*_-][A-Za-z]\b){3,}")
 _REPEATED = re.compile(rb"([A-Za-z])\1{2,}")
 #: A letter beside a symbol, or a dot between two letters.
+_WHITE = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
 _ODD = re.compile(rb"[A-Za-z][0-9@$!|+*#_-]|[0-9@$!|+*#_-][A-Za-z]|[A-Za-z]\.[A-Za-z]")
 
 FEATURES = ("lexicon_hits", "lexicon_density", "strong_hits", "strong_density", "hidden_hits", "near_second_person", "second_person_density", "capitals", "capital_words", "exclamations", "questions", "punctuation", "obfuscated", "spaced", "repeated", "length")
@@ -51,46 +52,53 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_LOWER).split() if text else []
 
 
+def _odd_tokens(text: bytes) -> Iterator[bytes]:
+    """Runs without white space that have a letter beside a symbol."""
+    plain, end = text.translate(_WHITE), 0
+    for m in _ODD.finditer(plain):
+        if m.start() >= end:
+            begin = plain.rfind(b" ", 0, m.start()) + 1
+            end = plain.find(b" ", m.end())
+            end = len(plain) if end < 0 else end
+            yield plain[begin:end].lower()
+
+
 def features(text: bytes | None, lexicon: dict[bytes, float], strong: float) -> list[float]:
     """Dense features of a whole text; all 0 if it is empty."""
+    return features_by(text, [(lexicon, strong)])[0]
+
+
+def features_by(text: bytes | None, lexicons: list[tuple[dict[bytes, float], float]]) -> list[list[float]]:
+    """``features`` for each lexicon; what doesn't depend on one is worked out once."""
     if not text:
-        return [0.0] * len(FEATURES)
+        return [[0.0] * len(FEATURES) for _ in lexicons]
     words = words_of(text)
-    n = max(1, len(words))
-    hits = [i for i, w in enumerate(words) if w in lexicon]
-    top = sum(lexicon[words[i]] >= strong for i in hits)
-    near = sum(not SECOND_PERSON.isdisjoint(words[max(0, i - NEAR) : i + NEAR + 1]) for i in hits)
+    n, size = max(1, len(words)), len(text)
     hist = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     upper, lower = int(hist[65:91].sum()), int(hist[97:123].sum())
-    inner = _INNER.findall(text)
-    hidden = 0
-    if _ODD.search(text):
-        for token in text.split():
-            if not _ODD.search(token):
-                continue
-            plain = token.lower()
-            hidden += any(w in lexicon for x in (plain.translate(_LEET), re.sub(rb"[^a-z\x80-\xff]", b"", plain)) for w in words_of(x)) and not any(w in lexicon for w in words_of(plain))
-    spaced = _SPACED.findall(text)
-    hidden += sum(re.sub(rb"[^a-z]", b"", m.group().lower()) in lexicon for m in _SPACED.finditer(text)) if spaced else 0
-    size = len(text)
-    return [
-        float(np.log1p(len(hits))),
-        len(hits) / n,
-        float(np.log1p(top)),
-        top / n,
-        float(hidden),
-        near / max(1, len(hits)),
+    # What a token may hide: its words with symbols read as letters, or left out.
+    disguised = [(words_of(x), [w for y in (x.translate(_LEET), re.sub(rb"[^a-z\x80-\xff]", b"", x)) for w in words_of(y)]) for x in _odd_tokens(text)]
+    spaced = [re.sub(rb"[^a-z]", b"", m.group().lower()) for m in _SPACED.finditer(text)]
+    shared = [
         sum(w in SECOND_PERSON for w in words) / n,
         upper / max(1, upper + lower),
         len(re.findall(rb"\b[A-Z]{3,}\b", text)) / n,
         int(hist[33]) / n,
         int(hist[63]) / n,
         (int(hist[33:48].sum()) + int(hist[58:65].sum())) / size,
-        len(inner) / n,
+        len(_INNER.findall(text)) / n,
         len(spaced) / n,
         sum(1 for _ in _REPEATED.finditer(text)) / n,
         float(np.log1p(n)),
     ]
+    out = []
+    for lexicon, strong in lexicons:
+        hits = [i for i, w in enumerate(words) if w in lexicon]
+        top = sum(lexicon[words[i]] >= strong for i in hits)
+        near = sum(not SECOND_PERSON.isdisjoint(words[max(0, i - NEAR) : i + NEAR + 1]) for i in hits)
+        hidden = sum(any(w in lexicon for w in meant) and not any(w in lexicon for w in plain) for plain, meant in disguised) + sum(w in lexicon for w in spaced)
+        out.append([float(np.log1p(len(hits))), len(hits) / n, float(np.log1p(top)), top / n, float(hidden), near / max(1, len(hits)), *shared])
+    return out
 
 
 @dataclass
@@ -231,7 +239,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     strong = [float(np.quantile(list(x.values()), 0.7)) if x else 0.0 for x in lexicons]
 
     def kernel():
-        return lambda texts: [[[v for x, at in zip(lexicons, strong, strict=True) for v in features(t, x, at)] for t in texts]]
+        pairs = list(zip(lexicons, strong, strict=True))
+        return lambda texts: [[[v for x in features_by(t, pairs) for v in x] for t in texts]]
 
     table = append_from_text(rows, "t", ["h", "y"], [StructField("x", ArrayType(DoubleType()))], kernel).toPandas().sort_values(["h", "y"], kind="stable")
     for done in (path, counted):
