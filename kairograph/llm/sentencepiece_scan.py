@@ -35,7 +35,9 @@ from .common import append_from_text, c, written
 #: Characters from which a text is split, and of a chunk.
 GIANT, CHUNK = 65_536, 16_384
 #: Neighbouring matrices that a task combines, and words whose encodings a task keeps.
-FAN, WORDS = 64, 100_000
+FAN, WORDS = 64, 300_000
+#: Chunks of a task, while there are no more than so many tasks for each core.
+EACH, WAVES = 8, 16
 SPACE = "▁"
 _NO = float("-inf")
 
@@ -345,6 +347,8 @@ def encode_giants(rows: DataFrame, shared, chunk: int = CHUNK, fan: int = FAN) -
         return made
 
     chunks, _ = written(_each_row(rows.select("rid", "t"), "rid string, k long, begin long, length long, seg string", split).repartition("rid", "k"), "chunks")
+    tasks = max(1, min(-(-chunks.count() // EACH), WAVES * rows.sparkSession.sparkContext.defaultParallelism))
+    chunks = chunks.repartition(tasks, "rid", "k")
     levels = [written(_each_row(chunks, "rid string, k long, m string", matrix), "matrices")[0]]
     g = F.floor(F.col("k") / fan).cast("long")
     while (levels[-1].agg(F.max("k")).first()[0] or 0) > 0:
@@ -353,7 +357,7 @@ def encode_giants(rows: DataFrame, shared, chunk: int = CHUNK, fan: int = FAN) -
     for level in levels[-2::-1]:
         both = level.withColumn("g", g).join(chosen.select("rid", F.col("k").alias("g"), "l", "r"), ["rid", "g"])
         chosen, _ = written(_each_group(both, ["rid", "g"], "rid string, k long, l string, r string", down), "states")
-    traced = _each_row(chunks.join(chosen, ["rid", "k"]).select("rid", "k", "begin", "length", "seg", "l", "r"), "rid string, k long, ids array<int>", trace)
+    traced = _each_row(chunks.join(chosen.repartition(tasks, "rid", "k"), ["rid", "k"]).select("rid", "k", "begin", "length", "seg", "l", "r"), "rid string, k long, ids array<int>", trace)
     return traced.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("x")).select("rid", F.col("x.ids").alias("parts"))
 
 
