@@ -115,7 +115,7 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "[+][0-9]", _digit_count(8, 15), 0.6, "phone|call|tel|mobile|fax"),
     Kind("iban", _IBAN, "[A-Z]{2}[0-9]{2}", _iban, 0.8, "iban|account|bank", False),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]-[0-9]", lambda m: ~m.rlike("^(000|666|9)|-00-|-0000$"), 0.3, "ssn|social|security", False),
-    Kind("secret", r"[A-Za-z0-9_-]{24,}+", "[A-Za-z0-9_-]{24}", _mixed, 0.2, "token|secret|password|passwd|credential|bearer|api.?key", False),
+    Kind("secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}+", "(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24}", _mixed, 0.2, "token|secret|password|passwd|credential|bearer|api.?key", False),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
 
