@@ -100,7 +100,8 @@ def speed_partition(spark, sf):
 @query()
 def chunk_assignment(spark, sf):
     loads = P.chunk_load(snapshots(spark, sf), _chunks(spark, sf), "snapshot")
-    return spark.createDataFrame(sorted(P.assign_chunks(loads, 4).items()), "chunk int, part int")
+    tied = P.chunk_affinity(edges(spark, sf), _chunks(spark, sf))
+    return spark.createDataFrame(sorted(P.assign_chunks(loads, 4, tied, 0.001).items()), "chunk int, part int")
 
 
 @query()

@@ -122,76 +122,123 @@ def chunk_induced(edges: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
     return edges.join(kept.select(F.col("node").alias("dst")), "dst", "left_semi").join(kept.select(F.col("node").alias("src")), "src", "left_semi")
 
 
-def streaming_edge_parts(edges: DataFrame, hot: DataFrame, parts: int, decay: float = 1e-9, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), lanes: int = 1, lane_by: str = "pos") -> DataFrame:
+class _Placement:
+    """Loads, homes and decayed importance of nodes, part by part, as edges stream by."""
+
+    def __init__(self, parts: int, hot: set, span: float) -> None:
+        self.parts, self.hot, self.span = parts, hot, max(span, 1e-9)
+        self.homes: dict[int, list[int]] = {}
+        self.importance: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.edges, self.nodes, self.newest = np.zeros(parts), np.zeros(parts), np.zeros(parts)
+
+    def place(self, s: int, d: int, at: float, pos: int) -> int:
+        found = self._known(s, d)
+        if not found:
+            score = (1 + self._near(s, at) + self._near(d, at)) * (1 - _crowding(self.nodes)) * (1 - _crowding(self.edges))
+            score *= np.exp((self.newest.min() - self.newest) / (self.newest.max() - self.newest.min() + 1))
+            found = np.flatnonzero(score >= score.max() - 1e-12).tolist()
+        part = found[pos % len(found)]
+        for node in (s, d):
+            self._settle(node, part, at)
+        self.edges[part] += 1
+        self.newest[part] = max(self.newest[part], at)
+        return part
+
+    def _known(self, s: int, d: int) -> list[int]:
+        """Parts of the cold end if the other one is hot, else those that both ends have."""
+        a, b = self.homes.get(s, []), self.homes.get(d, [])
+        if (s in self.hot) != (d in self.hot):
+            return b if s in self.hot else a
+        return sorted(set(a) & set(b))
+
+    def _near(self, node: int, at: float) -> np.ndarray | float:
+        known = self.importance.get(node)
+        return known[0] * np.exp((known[1] - at) / self.span) if known else 0.0
+
+    def _settle(self, node: int, part: int, at: float) -> None:
+        """A hot node lives wherever its edges go, another one where its first edge went."""
+        homes = self.homes.setdefault(node, [])
+        if homes and node not in self.hot and homes[0] != part:
+            return
+        if part not in homes:
+            homes.append(part)
+            self.nodes[part] += 1
+        weight, last = self.importance.setdefault(node, (np.zeros(self.parts), np.zeros(self.parts)))
+        weight[part] = weight[part] * np.exp((last[part] - at) / self.span) + 1
+        last[part] = at
+
+
+def _crowding(loads: np.ndarray) -> np.ndarray:
+    return (loads - loads.min()) / (1 + loads.max() - loads.min())
+
+
+def streaming_edge_parts(edges: DataFrame, hot: DataFrame, parts: int, lanes: int = 1, lane_by: str = "pos") -> DataFrame:
     """``pos, part``: greedy placement of edges in time.
 
-    An edge may go to the parts of its cold ends if they have one, else
-    anywhere; of these the best score of replica reuse (a decayed importance),
-    edge balance and time balance wins, ties to ``pos`` modulo the candidates.
-    The fold is sequential in each of ``lanes`` hash lanes; with one lane all
-    edges go through one task, which suits graphs that fit there.
+    An edge of a hot and a cold node goes where the cold one lives, another one
+    to a part where both ends live.  Without such a part every part's reuse (one
+    plus both ends' decayed importance there) is multiplied by how far it is
+    from the fullest in nodes, in edges and in newest times; the best wins, ties
+    go by ``pos``.  The fold is sequential in each of ``lanes`` hash lanes; with
+    one lane all edges go through one task, which suits graphs that fit there.
     """
     warm = {r[0] for r in hot.select("node").collect()}  # a bounded top list
-    rows = edges.select(F.pmod(F.xxhash64(lane_by), F.lit(lanes)).alias("lane"), "pos", "src", "dst", "ts").orderBy("pos") if lanes > 1 else edges.select(F.lit(0).cast("long").alias("lane"), "pos", "src", "dst", "ts")
+    span = edges.agg(F.max("ts")).first()[0] or 0
+    lane = F.pmod(F.xxhash64(lane_by), F.lit(lanes)) if lanes > 1 else F.lit(0).cast("long")
 
-    def place(part: pd.DataFrame) -> pd.DataFrame:
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("pos", kind="stable")
-        importance: list[dict[int, tuple[float, int]]] = [{} for _ in range(parts)]
-        home: dict[int, int] = {}
-        loads, seen = np.zeros(parts), np.zeros(parts)
-        out = np.empty(len(part), np.int32)
-        for i, (pos, s, d, t) in enumerate(zip(part["pos"].tolist(), part["src"].tolist(), part["dst"].tolist(), part["ts"].tolist(), strict=True)):
-            fixed = sorted({home[v] for v in (s, d) if v not in warm and v in home})
-            candidates = fixed or list(range(parts))
-            low, high = loads.min(), loads.max()
-            scores = []
-            for p in candidates:
-                near = sum(x[0] * np.exp(-decay * (t - x[1])) for v in (s, d) if (x := importance[p].get(v)))
-                scores.append(weights[0] * near + weights[1] * (high - loads[p]) / (1 + high - low) + weights[2] * (seen.max() - seen[p]) / (1 + seen.max()))
-            best = [p for p, x in zip(candidates, scores, strict=True) if x >= max(scores) - 1e-12]
-            p = best[pos % len(best)]
-            out[i] = p
-            loads[p] += 1
-            seen[p] = seen[p] * 0.999 + 1
-            for v in (s, d):
-                old = importance[p].get(v, (0.0, t))
-                importance[p][v] = (old[0] * float(np.exp(-decay * (t - old[1]))) + 1, t)
-                if v not in warm:
-                    home.setdefault(v, p)
-        return pd.DataFrame({"pos": part["pos"].to_numpy(), "part": out})
-
-    return rows.groupBy("lane").applyInPandas(place, "pos long, part int")
-
-
-def assign_chunks(loads: DataFrame, parts: int, rounds: int = 4) -> dict[int, int]:
-    """Chunk -> part so that every slice is even: greedy by size, then swaps that help.
-
-    ``loads`` (``slice, chunk, n``) is a matrix of chunks by slices, small by
-    choice of both numbers; it is worked on by the driver.
+        state = _Placement(parts, warm, float(span))
+        out = [state.place(s, d, float(t), pos) for pos, s, d, t in zip(*(part[c].tolist() for c in ("pos", "src", "dst", "ts")), strict=True)]
+        return pd.DataFrame({"pos": part["pos"].to_numpy(), "part": np.array(out, np.int32)})
+
+    return edges.select(lane.alias("lane"), "pos", "src", "dst", "ts").groupBy("lane").applyInPandas(fold, "pos long, part int")
+
+
+def assign_chunks(loads: DataFrame, parts: int, affinity: DataFrame | None = None, weight: float = 0.0, passes: int = 64) -> dict[int, int]:
+    """Chunk -> part so that every slice is even and chunks that share edges stay together.
+
+    Chunks are placed from the largest on, no part takes more than its share of
+    them, and each goes where the mean squared distance from an even slice grows
+    least, plus ``weight`` times its ``affinity`` (``a, b, n``) to chunks placed
+    elsewhere.  Then the swap of two chunks that most lowers the mean ratio of
+    the fullest to the emptiest part is made while there is one.  ``loads``
+    (``slice, chunk, n``) is a matrix of chunks by slices, small by choice of
+    both numbers; it is worked on by the driver.
     """
     table = loads.toPandas().pivot_table(index="chunk", columns=loads.columns[0], values="n", fill_value=0, aggfunc="sum").sort_index()
-    m = table.to_numpy(float)
-    at, sums = np.zeros(len(m), int), np.zeros((parts, m.shape[1]))
-    for i in np.argsort(-m.sum(axis=1), kind="stable"):
-        cost = ((sums + m[i]) ** 2 - sums**2).sum(axis=1)
-        at[i] = int(cost.argmin())
+    m, place = table.to_numpy(float), {int(x): i for i, x in enumerate(table.index)}
+    tied = np.zeros((len(m), len(m)))
+    for r in affinity.collect() if affinity is not None else ():
+        if r["a"] in place and r["b"] in place and r["a"] != r["b"]:
+            tied[place[r["a"]], place[r["b"]]] = tied[place[r["b"]], place[r["a"]]] = r["n"]
+    at, even, room = np.full(len(m), -1), m.sum(axis=0) / parts, np.full(parts, -(-len(m) // parts))
+    sums = np.zeros((parts, m.shape[1]))
+    for i in np.argsort(-np.linalg.norm(m, axis=1), kind="stable"):
+        away = np.array([tied[i][(at >= 0) & (at != p)].sum() for p in range(parts)])
+        cost = ((sums + m[i] - even) ** 2 - (sums - even) ** 2).mean(axis=1) + weight * away
+        at[i] = int(np.where(room > 0, cost, np.inf).argmin())
         sums[at[i]] += m[i]
-    for _ in range(rounds):
-        moved = False
-        for i in range(len(m)):
-            for j in range(i):
-                a, b = at[i], at[j]
-                if a == b:
-                    continue
-                delta = m[j] - m[i]
-                gain = (sums[a] ** 2).sum() + (sums[b] ** 2).sum() - ((sums[a] + delta) ** 2).sum() - ((sums[b] - delta) ** 2).sum()
-                if gain > 1e-9:
-                    sums[a] += delta
-                    sums[b] -= delta
-                    at[i], at[j], moved = b, a, True
-        if not moved:
+        room[at[i]] -= 1
+
+    def ratio(s: np.ndarray) -> float:
+        busy = s.max(axis=0) > 0
+        return float((s.max(axis=0)[busy] / np.maximum(s.min(axis=0)[busy], 1e-12)).mean()) if busy.any() else 0.0
+
+    def swapped(i: int, j: int) -> np.ndarray:
+        s = sums.copy()
+        s[at[i]] += m[j] - m[i]
+        s[at[j]] += m[i] - m[j]
+        return s
+
+    for _ in range(passes):
+        tries = [(ratio(swapped(i, j)), i, j) for i in range(len(m)) for j in range(i + 1, len(m)) if at[i] != at[j]]
+        if not tries or min(tries)[0] >= ratio(sums) - 1e-9:
             break
-    return dict(zip((int(x) for x in table.index), at.tolist(), strict=True))
+        _, i, j = min(tries)
+        sums = swapped(i, j)
+        at[i], at[j] = at[j], at[i]
+    return {c: int(at[i]) for c, i in place.items()}
 
 
 def replica_masters(replicas: DataFrame, parts: int) -> DataFrame:
