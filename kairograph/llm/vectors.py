@@ -3,8 +3,10 @@
 Vectors of a label are compared through ``L`` tables.  A table projects the unit
 vectors on random directions: all but the last are cut into cells at a random
 offset, and inside a cell vectors are sorted by the last projection, where each
-one's window, centred on it, collides with its neighbours.  A pair that collides
-in ``COUNT`` tables at least is verified by its cosine in double precision.
+one's window, centred on it, collides with its neighbours.  A pair is a link if
+it collides in ``COUNT`` tables at least and its cosine in double precision is
+high enough; a task finds the close pairs of its window by blocked products
+first, as their number is small, and counts the collisions of those.
 
 ``calibrate`` picks the number of projections so that a vector meets a few
 unrelated ones in a table however many there are, and then the number of
@@ -31,15 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import c, written
-from .components import connected_components
+from .components import Forest, connected_components
 
 THRESHOLD = 0.93
 #: Tables in which a pair must collide, and the recall at the threshold for which tables are added.
 COUNT, RECALL = 2, 0.99
 #: Most classes of a cell that one task compares with as many others.
 CELL = 1024
-#: Vectors that are projected at once.
-TOGETHER = 1024
+#: Rows of a block of cosines, and pairs whose collisions are counted at once.
+BLOCK, PAIRS = 256, 20_000
 #: Unrelated vectors that a vector meets in a table, at most, on average.
 STRANGERS = 0.1
 #: Cell width and half the window's width, as multiples of the threshold's distance.
@@ -95,7 +97,7 @@ def calibrate(n: int, threshold: float = THRESHOLD, recall: float = RECALL, coun
     return Plan(k + 1, tables, width, reach)
 
 
-def _unit(vectors: list) -> np.ndarray:
+def _unit(vectors: list | np.ndarray) -> np.ndarray:
     x = np.array(vectors, np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -122,102 +124,66 @@ def _cells(plan: Plan):
 def _compare(plan: Plan, threshold: float, count: int):
     """Links inside a group of classes, or between its two sides, first found in this table."""
 
-    def collide(x: np.ndarray, y: np.ndarray, tables: slice, key: np.ndarray, last: np.ndarray) -> np.ndarray:
-        key, last = key[:, tables], last[:, tables]
-        return (key[x] == key[y]) & (np.abs(last[x] - last[y]) <= plan.reach)
+    def windows(table: int, sides: np.ndarray, unit: np.ndarray, two: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows in each other's window of this table that are close."""
+        last = unit @ plan.directions(unit.shape[1])[0][:, table * plan.projections + plan.projections - 1]
+        order = np.argsort(last, kind="stable")
+        sides, unit, last = sides[order], unit[order], last[order]
+        to = np.searchsorted(last, last + plan.reach, side="right")
+        found = []
+        for begin in range(0, len(unit), BLOCK):
+            end = min(len(unit), begin + BLOCK)
+            high = int(to[begin:end].max())
+            at, other = np.arange(begin, end)[:, None], np.arange(begin, high)[None, :]
+            near = (unit[begin:end] @ unit[begin:high].T >= threshold) & (other > at) & (other < to[begin:end, None])
+            if two:
+                near &= sides[begin:end, None] != sides[None, begin:high]
+            a, b = np.nonzero(near)
+            found.append((order[a + begin], order[b + begin]))
+        return tuple(np.concatenate([f[k] for f in found]) for k in (0, 1))
 
-    def close(x: np.ndarray, y: np.ndarray, unit: np.ndarray) -> np.ndarray:
-        return np.einsum("ij,ij->i", unit[x], unit[y]) >= threshold
+    def counted(table: int, unit: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pairs, those that collide here first and in enough tables."""
+        rows, at = np.unique(np.concatenate((x, y)), return_inverse=True)
+        key, last = plan.place(unit[rows])
+        a, b = at[: len(x)], at[len(x) :]
 
-    def verified(x: np.ndarray, y: np.ndarray, table: int, unit: np.ndarray, key: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs that first collide here, collide often enough, and are close.
+        def collide(tables: slice) -> np.ndarray:
+            return (key[a, tables] == key[b, tables]) & (np.abs(last[a, tables] - last[b, tables]) <= plan.reach)
 
-        Near copies collide early, so in large groups earlier tables sort most
-        pairs out; in small ones, mostly of strangers, the cosine does.
-        """
-        few = len(x) <= 64
-        if few:
-            keep = close(x, y, unit)
-            x, y = x[keep], y[keep]
+        # Close pairs mostly collide early, so that a few tables sort most of them out.
         for begin in range(0, table, 8):
-            if not len(x):
-                break
-            keep = ~collide(x, y, slice(begin, min(table, begin + 8)), key, last).any(axis=1)
-            x, y = x[keep], y[keep]
-        if len(x):
-            keep = collide(x, y, slice(None), key, last).sum(axis=1) >= count
-            x, y = x[keep], y[keep]
-        if len(x) and not few:
-            keep = close(x, y, unit)
-            x, y = x[keep], y[keep]
-        return x, y
-
-    def links(table: int, nodes: np.ndarray, sides: np.ndarray, unit: np.ndarray, two: bool, key: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(last[:, table], kind="stable")
-        nodes, sides, unit, key, last = nodes[order], sides[order], unit[order], key[order], last[order]
-        to = np.searchsorted(last[:, table], last[:, table] + plan.reach, side="right")
-        found = []
-        for begin in range(0, len(nodes), 64):
-            end = min(len(nodes), begin + 64)
-            a, b = np.nonzero(np.arange(begin, max(to[begin:end].max(), end))[None, :] < to[begin:end, None])
-            a, b = a + begin, b + begin
-            keep = a < b
-            if two:
-                keep &= sides[a] != sides[b]
-            a, b = a[keep], b[keep]
-            for at in range(0, len(a), 20_000):
-                found.append(verified(a[at : at + 20_000], b[at : at + 20_000], table, unit, key, last))
-        x = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
-        y = np.concatenate([f[1] for f in found]) if found else np.empty(0, np.int64)
-        return nodes[x], nodes[y]
-
-    def forest(table: int, two: bool, members: list[dict], unit: np.ndarray, key: np.ndarray, last: np.ndarray) -> list[tuple[int, int | None, int]]:
+            keep = ~collide(slice(begin, min(table, begin + 8))).any(axis=1)
+            x, y, a, b = x[keep], y[keep], a[keep], b[keep]
+        keep = collide(slice(table, None)).sum(axis=1) >= count
+        return x[keep], y[keep]
+
+    def links(table: int, two: bool, node: np.ndarray, size: np.ndarray, side: np.ndarray, unit: np.ndarray) -> list[tuple[int, int | None, int]]:
         """Links that join what isn't joined yet, and each class's number of linked rows."""
-        nodes = np.array([m["node"] for m in members], np.int64)
-        size = {m["node"]: m["size"] for m in members}
-        x, y = links(table, nodes, np.array([m["side"] for m in members], bool), unit, two, key, last)
-        degree: dict[int, int] = {}
-        parent: dict[int, int] = {}
+        x, y = windows(table, side, unit, two)
+        parts = [counted(table, unit, x[i : i + PAIRS], y[i : i + PAIRS]) for i in range(0, len(x), PAIRS)]
         out: list[tuple[int, int | None, int]] = []
-
-        def root(v: int) -> int:
-            while (p := parent.setdefault(v, v)) != v:
-                parent[v] = v = parent[p]
-            return v
-
-        for a, b in zip(x.tolist(), y.tolist(), strict=True):
-            degree[a] = degree.get(a, 0) + size[b]
-            degree[b] = degree.get(b, 0) + size[a]
-            if (p := root(a)) != (q := root(b)):
-                parent[p] = q
-                out.append((a, b, 0))
-        return out + [(v, None, n) for v, n in degree.items()]
-
-    def together(groups: list[tuple]) -> Iterator[tuple[int, int | None, int]]:
-        """Groups of vectors of one length, projected at once."""
-        unit = _unit([m["vector"] for _, _, members in groups for m in members])
-        key, last = plan.place(unit)
-        begin = 0
-        for table, two, members in groups:
-            end = begin + len(members)
-            yield from forest(table, two, members, unit[begin:end], key[begin:end], last[begin:end])
-            begin = end
+        degree, forest = np.zeros(len(node), np.int64), Forest()
+        for x, y in parts:
+            np.add.at(degree, x, size[y])
+            np.add.at(degree, y, size[x])
+            out += [(a, b, 0) for a, b in zip(node[x].tolist(), node[y].tolist(), strict=True) if forest.join(a, b)]
+        some = np.flatnonzero(degree)
+        return out + [(v, None, n) for v, n in zip(node[some].tolist(), degree[some].tolist(), strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                rows = zip(*(batch.column(i).slice(start, 256).to_pylist() for i in range(3)), strict=True)
-                waiting: dict[int, list[tuple]] = {}
-                out: list[tuple[int, int | None, int]] = []
-                for group in rows:
-                    same = waiting.setdefault(len(group[2][0]["vector"]), [])
-                    same.append(group)
-                    if sum(len(g[2]) for g in same) >= TOGETHER:
-                        out += together(waiting.pop(len(group[2][0]["vector"])))
-                for same in waiting.values():
-                    out += together(same)
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], names=["a", "b", "n"])
+            table, two = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ends, rows = batch.column(2).offsets.to_numpy(), batch.column(2).values
+            node, size, side = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("node", "size", "side"))
+            vector = rows.field("vector")
+            begins, values = vector.offsets.to_numpy(), vector.values.to_numpy(zero_copy_only=False)
+            out: list[tuple[int, int | None, int]] = []
+            for k in range(batch.num_rows):
+                own = slice(ends[k], ends[k + 1])
+                unit = _unit(values[begins[ends[k]] : begins[ends[k + 1]]].reshape(ends[k + 1] - ends[k], -1))
+                out += links(table[k], two[k], node[own], size[own], side[own], unit)
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], names=["a", "b", "n"])
 
     return run
 
