@@ -61,6 +61,17 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Rows of an Arrow batch: Spark's 10,000 whole texts at once are too much for a small executor.
+BATCH_ROWS = 500
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows of an Arrow batch to ``BATCH_ROWS``, for kernels over texts and lists."""
+    if not 0 < int(spark.conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+
+
 #: Rows of a narrow table up to which it is broadcast.
 SMALL_ROWS = 500_000
 
@@ -83,6 +94,7 @@ def append_from_text(
     texts (``None`` for null) to one list of values per field.  A kept column
     with the name of a field is left out.
     """
+    small_batches(df.sparkSession)
     names = {f.name.lower() for f in fields}
     keep = [k for k in keep if k.lower() not in names]
     # Under names of our own inside, as a table's may be anything.

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import c, written
+from .common import c, small_batches, written
 from .components import Forest, connected_components
 
 THRESHOLD = 0.93
@@ -198,6 +198,7 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     with null ids only has a null id, and its rows aren't kept); an empty table
     gives an empty result.
     """
+    small_batches(df.sparkSession)
     v = c(vector)
     valid = v.isNotNull() & c(label).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     block = F.xxhash64(c(label), F.size(v))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from .common import c, pieces
+from .common import c, pieces, small_batches
 
 #: Namespace of derived record ids: the same response always gives the same ids.
 _IDS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -218,6 +218,7 @@ def derivatives(source: dict) -> list[dict]:
 
 def _map(df: DataFrame, size: int, made, schema: StructType) -> DataFrame:
     """Rows made of each row, a few MB at a time; ``size``: the column that is large."""
+    small_batches(df.sparkSession)
     kinds = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
