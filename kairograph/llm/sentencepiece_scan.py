@@ -22,9 +22,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,7 +69,8 @@ class Model:
         self.starts = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
         # Without a piece that goes on behind a word's end, words are encoded on their own and kept.
         self.by_word = self.bpe and bool(self.prefix) and not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self._words: dict[str, list[int]] = {}
+        #: Ids of words, as 32-bit numbers.
+        self._words: dict[str, bytes] = {}
         self._fits: dict[tuple[str, str], bool] = {}
 
     # Lattice
@@ -151,10 +153,10 @@ class Model:
         split = [t.split(" ") if p else None for t, p in zip(texts, plain, strict=True)]
         if len(self._words) > WORDS:
             self._words.clear()
-        if fresh := list({w for x in split if x for w in x} - self._words.keys()):
-            self._words.update(zip(fresh, self.library.encode(fresh, num_threads=1), strict=True))
+        if fresh := [w for w in {w for x in split if x for w in x} if w not in self._words]:
+            self._words.update((w, array("i", x).tobytes()) for w, x in zip(fresh, self.library.encode(fresh, num_threads=1), strict=True))
         word = self._words.__getitem__
-        return [self.encode(t) if x is None else list(chain.from_iterable(map(word, x))) for t, x in zip(texts, split, strict=True)]
+        return [self.encode(t) if x is None else np.frombuffer(b"".join(map(word, x)), np.int32).tolist() for t, x in zip(texts, split, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
