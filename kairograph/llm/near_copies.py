@@ -197,10 +197,11 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     spark = df.sparkSession
     rows = df.select(c(doc_id).alias("__id"), c(text).alias("__t"), F.xxhash64(c(text)).alias("text_key"))
     prints, _ = written(_prints(rows), "prints")
-    keyed = prints.select(F.posexplode("keys").alias("t", "key"), "node")
+    # Rows of a node are combined before their keys meet, so a text's copies are no hot key.
+    keyed = prints.select("node", "keys").dropDuplicates(["node"]).select(F.posexplode("keys").alias("t", "key"), "node")
     many = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     # A small table, dealt anew so that it becomes a few files.
-    shards, path = written(keyed.join(many, "key", "left_semi").distinct().hint("rebalance"), "shards")
+    shards, path = written(keyed.join(many, "key", "left_semi").hint("rebalance"), "shards")
     sets = _sets(rows, prints, shards)
     roots = connected_components(written(_round(shards, sets, None), "links")[0])
     links = roots.where("node != root").toDF("a", "b").union(written(_round(shards, sets, roots), "links")[0])
